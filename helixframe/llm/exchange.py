@@ -1,7 +1,7 @@
 """Exchange of 64-bit keys in packed blocks: a few rows per task in place of one row per key.
 
 A key's part is the place of its high bits in 0..parts-1; its low 56 bits travel, 7 bytes each, with the rows'
-owners as (id, count) runs. A task that gets a part sees all equal keys together. Parts are as many as the number
+owners as (id, tag, count) runs; a tag is 0 to 3. A task that gets a part sees all equal keys together. Parts are as many as the number
 of keys asks for, so a part's memory stays bounded at every size.
 """
 
@@ -34,11 +34,12 @@ class Packer:
     """Gathers (key, id) rows and gives them out as one row per part."""
 
     def __init__(self, parts: int):
-        self.parts, self.keys, self.ids, self.held = parts, [], [], 0
+        self.parts, self.keys, self.ids, self.tags, self.held = parts, [], [], [], 0
 
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def add(self, keys: np.ndarray, ids: np.ndarray, tags: np.ndarray | int = 0) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)
         self.ids.append(ids)
+        self.tags.append(np.broadcast_to(np.asarray(tags, np.int8), keys.shape))
         self.held += len(keys)
         if self.held >= FLUSH_KEYS:
             yield self.flush()
@@ -46,33 +47,36 @@ class Packer:
     def flush(self) -> pa.RecordBatch:
         keys = np.concatenate(self.keys) if self.keys else np.empty(0, U64)
         ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.int64)
-        self.keys, self.ids, self.held = [], [], 0
+        tags = np.concatenate(self.tags) if self.tags else np.empty(0, np.int8)
+        self.keys, self.ids, self.tags, self.held = [], [], [], 0
         part = part_of(keys, self.parts)
         order = np.argsort(part, kind="stable")
         ends = np.cumsum(np.bincount(part, minlength=self.parts))
-        keys, ids = keys[order], ids[order]
+        keys, ids, tags = keys[order], ids[order], tags[order]
         rows: list[tuple[int, bytes, bytes, bytes]] = []
         start = 0
         for p, end in enumerate(ends.tolist()):
             if end > start:
                 low = keys[start:end].view(np.uint8).reshape(-1, 8)[:, :7]
-                own = ids[start:end]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                rows.append((p, low.tobytes(), own[first].tobytes(), np.diff(np.append(first, len(own))).astype(np.int32).tobytes()))
+                own, tag = ids[start:end], tags[start:end]
+                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])]))
+                rows.append((p, low.tobytes(), own[first].tobytes(), (np.diff(np.append(first, len(own))) * 4 + tag[first]).astype(np.int32).tobytes()))
             start = end
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["part", "keys", "ids", "counts"])
 
 
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All (low bits of key, id) rows of a part."""
-    keys, ids = [], []
+def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (low bits of key, id, tag) rows of a part."""
+    keys, ids, tags = [], [], []
     for k, i, c in zip(*(table.column(x) for x in ("keys", "ids", "counts")), strict=True):
         low = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 7)
         wide = np.zeros((len(low), 8), np.uint8)
         wide[:, :7] = low
         keys.append(wide.view(U64)[:, 0])
-        ids.append(np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int32)))
-    return np.concatenate(keys), np.concatenate(ids)
+        count = np.frombuffer(c.as_buffer(), np.int32)
+        ids.append(np.repeat(np.frombuffer(i.as_buffer(), np.int64), count >> 2))
+        tags.append(np.repeat((count & 3).astype(np.int8), count >> 2))
+    return np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
 
 
 def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .html_text import extract_text
+from .jaccard import near_groups
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import judge_quality
 from .sharding import shard_documents
+from .storage import ship
 from .substrings import removal_report
 from .urls import judge_urls
 
 
 def read(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -29,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return pack_documents(read(spark, directory, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return near_groups(read(spark, directory, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return removal_report(read(spark, directory, "documents"))
 
@@ -58,5 +65,5 @@ def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     return judge_urls(read(spark, directory, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_block_matrix_neighbours, op2_best_fit_packing, op4_substring_dedup, op5_license_scan, op6_histogram_sharding, op7_source_mixing, op8_html_extraction, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_block_matrix_neighbours, op2_best_fit_packing, op3_jaccard_join, op4_substring_dedup, op5_license_scan, op6_histogram_sharding, op7_source_mixing, op8_html_extraction, op9_quality_rules, op10_url_filter)}
 ORACLES: dict[str, str] = {}

@@ -46,7 +46,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None
         yield packer.flush()
 
     def find(table: pa.Table) -> pa.Table:
-        run, ids = shared_runs(*unpack(table))
+        run, ids = shared_runs(*unpack(table)[:2])
         first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.empty(0, bool)
         owner = ids[first][np.cumsum(first) - 1] if len(run) else ids
         pairs = np.unique(np.stack([owner[~first], ids[~first]]), axis=1)
