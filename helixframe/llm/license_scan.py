@@ -33,23 +33,35 @@ NEAR = 2
 #: Part of a template's words that a span must hold in order.
 LEAST_COVER = 0.8
 DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The one letter outside A-Z that lower() turns into a letter a-z; another stands in for it.
+KELVIN, STAND_IN = "\u212a", "\u0138"
 
 
-def license_words(text: Column) -> Column:
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), DELIMITER), lambda w: w != "")
+def joined_words(text: Column) -> Column:
+    """Lower-cased words with one space before, between and after them. What lower() does to letters beyond A-Z changes no word of ASCII letters."""
+    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit(KELVIN), F.lit(STAND_IN)))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, DELIMITER, " ")), F.lit(" "))
 
 
-def gram_hashes(words: Column, k: int = GRAM) -> Column:
-    """Hashes of all k consecutive words, by place; empty if there are fewer."""
-    places = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
+def word_count(joined: Column) -> Column:
+    return F.when(joined == "  ", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) - 1)
+
+
+def gram_texts(joined: Column, n_words: Column, k: int = GRAM) -> Column:
+    """All k-grams as an array of arrays: element j holds those that start at words j, j + k, and so on. Each is one linear scan."""
+    scan = F.lit(" ".join(["[^ ]++"] * k))
+    out, start = [], F.lit(2)
+    for j in range(k):
+        found = F.regexp_extract_all(joined.substr(start, F.length(joined)), scan, F.lit(0))
+        out.append(F.when(n_words >= k + j, found).otherwise(F.array().cast("array<string>")))
+        start = F.call_function("locate", F.lit(" "), joined, start) + 1
+    return F.array(*out)
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """(template, place, hash, size) of the templates, each with at least k words."""
-    rows = spark.createDataFrame([(i, text.split()) for i, (_, text) in enumerate(templates)], "template int, words array<string>")
-    return rows.select("template", F.size("words").alias("size"), F.posexplode(gram_hashes(F.col("words"), k)).alias("place", "hash"))
+    rows = [(i, at, " ".join(words[at : at + k]), len(words)) for i, (_, text) in enumerate(templates) for words in [text.split()] for at in range(len(words) - k + 1)]
+    return spark.createDataFrame(rows, "template int, place int, gram string, size int").select("template", "place", "size", F.xxhash64("gram").alias("hash"))
 
 
 def base_places(words: Column, phrases=PHRASES) -> Column:
@@ -68,17 +80,16 @@ def base_places(words: Column, phrases=PHRASES) -> Column:
 
 
 def base_pattern(phrases=PHRASES) -> str:
-    """A regular expression that finds whether any phrase stands in a lower-cased text."""
-    inner = "|".join(DELIMITER.join(p.split()) for _, p in phrases)
-    edge = DELIMITER.removesuffix("+")
-    return f"(?:^|{edge})(?:{inner})(?:{edge}|$)"
+    """A regular expression that finds whether any phrase stands in joined words."""
+    return f" (?:{'|'.join(p for _, p in phrases)}) "
 
 
 def matched_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, near: int = NEAR, least: float = LEAST_COVER) -> DataFrame:
-    """Verified spans of rows (key, words): key, template, first and last word, cover."""
+    """Verified spans of rows (key, joined, n): key, template, first and last word, cover."""
     spark = rows.sparkSession
     grams = template_grams(spark, templates, k)
-    hits = rows.select("key", F.posexplode(gram_hashes(F.col("words"), k)).alias("at", "hash")).join(F.broadcast(grams), "hash")
+    lanes = rows.select("key", F.posexplode(gram_texts(F.col("joined"), F.col("n"), k)).alias("lane", "found"))
+    hits = lanes.select("key", "lane", F.posexplode("found").alias("turn", "gram")).select("key", (F.col("turn") * k + F.col("lane")).alias("at"), F.xxhash64("gram").alias("hash")).join(F.broadcast(grams), "hash")
     votes = hits.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), (F.max("at") + k).alias("end"), F.min("place").alias("low"), F.max("place").alias("high"), F.collect_set("place").alias("places"), F.first("size").alias("size"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > near) | F.lag("diagonal").over(order).isNull()
@@ -95,12 +106,12 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int
     1 - least of them missing or changed. The score is 1 where a base phrase stands, else the best cover. A null
     text has no words. Rows keep their own result even if ids repeat or are null; an empty table gives no rows.
     """
-    words = license_words(F.col("text"))
-    candidate = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).rlike(base_pattern(phrases))
-    rows = docs.select("doc_id", F.col("text"), F.xxhash64("doc_id", "text").alias("key"))
-    table = rows.withColumn("words", words)
-    base = table.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.when(candidate, base_places(F.col("words"), phrases)).otherwise(F.array().cast("array<struct<first:int,last:int,label:string>>")).alias("base"))
-    found = matched_spans(table.select("key", "words"), templates, k, least=least)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), joined_words(F.col("text")).alias("joined"))
+    rows = rows.withColumn("n", word_count(F.col("joined")))
+    # Only texts that hold a phrase are split, into a column of their own, so that the lambdas don't split them again.
+    rows = rows.withColumn("words", F.when(F.col("joined").rlike(base_pattern(phrases)), F.split(F.trim("joined"), " ")).otherwise(F.array().cast("array<string>")))
+    base = rows.select("doc_id", "key", F.col("n").cast("long").alias("n_words"), base_places(F.col("words"), phrases).alias("base"))
+    found = matched_spans(rows.select("key", "joined", "n"), templates, k, least=least)
     label = F.element_at(F.array(*(F.lit(name) for name, _ in templates)), F.col("template") + 1)
     added = found.groupBy("key").agg(F.collect_set(label).alias("added"), F.max("cover").alias("cover"))
     out = base.join(added, "key", "left")
