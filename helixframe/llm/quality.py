@@ -15,8 +15,8 @@ LEAST_WORDS = 10
 WINDOW = 5
 REPEAT_PERCENT = 20
 #: White space between words, and the characters counted as symbols.
-SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]+"
+SYMBOLS = r"[#*$%&|<>]"
 #: Labelled rows the list is fitted on at most, those with the smallest hash of their id.
 TRAINING_ROWS = 20_000
 #: A rule must cover so many training rows and reach this precision, on the growing and on the pruning part.
@@ -27,27 +27,32 @@ MOST_CONDITIONS = 3
 #: Candidate thresholds of a statistic: its quantiles.
 THRESHOLDS = 24
 
-FEATURES = ("symbol_share", "dup_line_share", "repeat_share", "mean_word", "distinct_share", "marks_per_word", "log_words", "upper_share", "digit_share")
+FEATURES = ("symbol_share", "dup_line_share", "repeat_share", "mean_word", "log_words", "upper_share")
 
 
-def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def window_texts(joined: Column, n_words: Column, window: int = WINDOW) -> Column:
+    """All windows of words joined by single spaces, as arrays: element j holds those that start at words j, j + window, and so on.
 
-
-def window_hashes(words: Column, window: int = WINDOW) -> Column:
-    """64-bit hashes of all windows of a text, by place; empty for a text of one window or none, which can't repeat."""
-    n = F.size(words)
-    places = F.when(n > window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(window))))
+    Each element is one linear scan by a regular expression, which costs far less than a lambda over the words.
+    """
+    word = "[^ ]++"
+    scan = F.lit(" ".join([word] * window))
+    out, start = [], F.lit(1)
+    for j in range(window):
+        found = F.regexp_extract_all(joined.substr(start, F.length(joined)), scan, F.lit(0))
+        out.append(F.when(n_words >= window + j, found).otherwise(F.array().cast("array<string>")))
+        start = F.call_function("locate", F.lit(" "), joined, start) + 1
+    return F.array(*out)
 
 
-def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
-    """Words inside windows that stand twice or more in the text, the first included.
+def repeated_words(windows: Column, window: int = WINDOW) -> Column:
+    """Words inside windows that stand twice or more in the text, the first included; windows: as window_texts gives them.
 
-    Where all hashes differ, nothing more is done; else they are sorted with their places, those with an equal
-    neighbour are kept, and the places' spans are added up without overlaps.
+    Where all windows differ, nothing more is done; else their hashes are sorted with their places, those with an
+    equal neighbour are kept, and the places' spans are added up without overlaps.
     """
-    keyed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    flat = F.flatten(windows)
+    keyed = F.sort_array(F.flatten(F.transform(windows, lambda found, j: F.transform(found, lambda w, m: F.struct(F.xxhash64(w).alias("h"), (m * window + j).alias("i"))))))
 
     def places(rows: Column) -> Column:
         same = F.filter(rows, lambda x, i: (x["h"] == F.get(rows, i - 1)["h"]) | (x["h"] == F.get(rows, i + 1)["h"]))
@@ -57,35 +62,27 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     once = F.flatten(F.transform(F.array(keyed), places))
     zero = F.struct(F.lit(0).alias("covered"), F.lit(-window).alias("last"))
     total = F.aggregate(once, zero, lambda s, i: F.struct((s["covered"] + F.least(F.lit(window), i - s["last"])).alias("covered"), i.alias("last")), lambda s: s["covered"])
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), total).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(F.array_distinct(flat)) < F.size(flat), total).otherwise(F.lit(0)).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Add the base statistics and the model's features to documents; the text column stays."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("_words", split_words(text)).withColumn("_hashes", window_hashes(F.col("_words")))
-    words, characters = F.col("_words"), F.length(F.translate(text, SPACE, ""))
-    lines = F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, SPACE, "")) > 0)
-
-    def count(of: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, of, ""))).cast("long")
-
+    """Add the base statistics and the model's features to documents; their columns stay."""
+    text, joined = F.coalesce("text", F.lit("")), F.col("_joined")
+    rows = docs.withColumn("_joined", F.trim(F.regexp_replace(text, SPACE, " ")))
+    rows = rows.withColumn("_n", F.when(joined == "", 0).otherwise(F.length(joined) - F.length(F.replace(joined, F.lit(" "), F.lit(""))) + 1))
+    rows = rows.withColumn("_windows", window_texts(joined, F.col("_n"))).withColumn("_lines", F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     counts = {
-        "n_words": F.size(words).cast("long"), "word_chars": characters.cast("long"), "n_symbols": count(SYMBOLS), "n_repeat_words": repeated_words(F.col("_hashes")),
-        "_distinct": F.size(F.array_distinct(words)), "_marks": count(".,;:!?"), "_upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "_digits": count("0123456789"),
-        "_lines": F.transform(F.array(lines), lambda x: F.struct(F.size(x).alias("all"), F.size(F.array_distinct(x)).alias("distinct")))[0],
+        "n_words": F.col("_n").cast("long"), "word_chars": (F.length(joined) - F.greatest(F.col("_n") - 1, F.lit(0))).cast("long"), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "n_repeat_words": repeated_words(F.col("_windows")), "_all_lines": F.size("_lines"), "_upper": F.regexp_count(text, F.lit("[A-Z]")),
     }
     # A generator of one row: the optimiser moves no filter on these columns below it, where they would be computed again for every use.
     rows = rows.select(*docs.columns, F.inline(F.array(F.struct(*(c.alias(name) for name, c in counts.items())))))
     n, c = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    dup = F.col("_lines.all") - F.col("_lines.distinct")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumns({
-        "n_dup_lines": dup.cast("long"), "base_failed": failed,
-        "symbol_share": F.col("n_symbols") / c, "dup_line_share": dup / F.greatest(F.col("_lines.all"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n,
-        "mean_word": F.col("word_chars") / n, "distinct_share": F.col("_distinct") / n, "marks_per_word": F.col("_marks") / n,
-        "log_words": F.log1p(F.col("n_words").cast("double")), "upper_share": F.col("_upper") / c, "digit_share": F.col("_digits") / c,
-    }).drop("_distinct", "_marks", "_upper", "_digits", "_lines")
+        "base_failed": failed, "symbol_share": F.col("n_symbols") / c, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_all_lines"), F.lit(1)), "repeat_share": F.col("n_repeat_words") / n,
+        "mean_word": F.col("word_chars") / n, "log_words": F.log1p(F.col("n_words").cast("double")), "upper_share": F.col("_upper") / c,
+    }).drop("_all_lines", "_upper")
 
 
 Rule = tuple[tuple[int, str, float], ...]
