@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .words import U64
+from .words import U64, mix
 
 #: Keys in a part on average; a task needs about 50 bytes for each.
 PART_KEYS = 2_500_000
@@ -93,3 +94,30 @@ def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     run, ids = run[order], ids[order]
     once = np.concatenate([[True], (run[1:] != run[:-1]) | (ids[1:] != ids[:-1])]) if len(run) else np.empty(0, bool)
     return run[once], ids[once]
+
+
+PAIRS = "bucket int, pairs binary"
+
+
+def pack_pairs(pairs: np.ndarray, buckets: int) -> pa.Table:
+    """Pairs (2, n) as one row for each bucket of their hashes."""
+    pairs = pairs.astype(np.int64)
+    bucket = (mix(pairs[0].view(U64) * U64(3) + mix(pairs[1].view(U64))) % U64(buckets)).astype(np.int64) if pairs.shape[1] else np.empty(0, np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
+    both = np.ascontiguousarray(pairs[:, order].T)
+    rows = [(b, both[start:end].tobytes()) for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if end > start]
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def distinct_pairs(packed: DataFrame, first: str, second: str) -> DataFrame:
+    """The distinct pairs of packed rows. Parts repeat each other's pairs, so they are merged as arrays before they become rows."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        both = np.concatenate([np.frombuffer(p.as_buffer(), np.int64).reshape(-1, 2) for p in table.column("pairs")])
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        new = np.ones(len(both), bool)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
+        return pa.table({first: pa.array(both[new, 0]), second: pa.array(both[new, 1])})
+
+    return packed.groupBy("bucket").applyInArrow(merge, f"{first} long, {second} long")

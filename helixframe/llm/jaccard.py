@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .components import components
-from .exchange import Packer, parts_for, unpack
+from .exchange import Packer, distinct_pairs, pack_pairs, parts_for, unpack
 from .storage import keep, release
 from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, split_words
 
@@ -237,7 +237,7 @@ def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[n
 
 
 def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(a, b, bucket, tag): pairs to compare with a null bucket, and large buckets' members in `a`."""
+    """(bucket, pairs, key, id, tag): rows of packed pairs to compare, and large buckets' members, whose key isn't null."""
     parts = parts_for(shingles * 7 // 10)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +260,14 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
 
     def find(table: pa.Table) -> pa.Table:
         pairs, members, tags = bucket_pairs(*unpack(table))
-        bucket = pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(members[0])])
-        other = pa.concat_arrays([pa.array(pairs[1]), pa.nulls(members.shape[1], pa.int64())])
-        return pa.table({"a": pa.array(np.concatenate([pairs[0], members[1]])), "b": other, "bucket": bucket, "tag": pa.array(np.concatenate([np.zeros(pairs.shape[1], np.int32), tags.astype(np.int32)]), pa.int32())})
+        packed = pack_pairs(pairs, parts)
+        n, m = packed.num_rows, members.shape[1]
+        columns = {"key": (pa.array(members[0]), pa.int64()), "id": (pa.array(members[1]), pa.int64()), "tag": (pa.array(tags, pa.int32()), pa.int32())}
+        out = {c: pa.chunked_array([*packed.column(c).chunks, pa.nulls(m, packed.schema.field(c).type)]) for c in ("bucket", "pairs")}
+        return pa.table(out | {c: pa.chunked_array([pa.nulls(n, t), x]) for c, (x, t) in columns.items()})
 
     packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, exchange.SCHEMA)
-    return packed.groupBy("part").applyInArrow(find, "a long, b long, bucket long, tag int")
+    return packed.groupBy("part").applyInArrow(find, f"{exchange.PAIRS}, key long, id long, tag int")
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -331,11 +333,11 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     release(spark)
     classes = used.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = used.select("h1", "h2", F.col("doc_id").alias("u")).join(classes, ["h1", "h2"]).where("u <> v").select("u", "v")
-    pairs = keep(plausible(found.where("bucket IS NULL").select("a", "b").distinct(), used, percent), "plausible")
+    pairs = keep(plausible(distinct_pairs(found.where("key IS NULL").select("bucket", "pairs"), "a", "b"), used, percent), "plausible")
     edges = keep(copies.unionByName(verified(pairs, docs, k, percent)), "links")
     release(spark)
     groups = components(edges)
-    members = found.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node"), "tag")
+    members = found.where("key IS NOT NULL").select(F.col("key").alias("bucket"), F.col("id").alias("node"), "tag")
     if not members.isEmpty():
         # Large buckets: documents in different components by now are compared one by one.
         placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

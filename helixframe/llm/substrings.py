@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .exchange import Packer, parts_for, shared_runs, unpack
+from .exchange import Packer, distinct_pairs, pack_pairs, parts_for, shared_runs, unpack
 from .storage import keep, release
 from .words import array_of, chunks, gram_starts, grams, hash_words, split_words
 
@@ -30,7 +30,7 @@ WORD_BYTES = 5
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None) -> DataFrame:
-    """(owner, doc_id): the document repeats a window whose first document, by id, is the owner. A pair may come several times."""
+    """(owner, doc_id): the document repeats a window whose first document, by id, is the owner."""
     if text_bytes is None:
         text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(text_bytes // WORD_BYTES)
@@ -47,13 +47,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None
 
     def find(table: pa.Table) -> pa.Table:
         run, ids = shared_runs(*unpack(table)[:2])
-        first = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.empty(0, bool)
-        owner = ids[first][np.cumsum(first) - 1] if len(run) else ids
-        pairs = np.unique(np.stack([owner[~first], ids[~first]]), axis=1)
-        return pa.table({"owner": pa.array(pairs[0], pa.int64()), "doc_id": pa.array(pairs[1], pa.int64())})
+        if not len(run):
+            return pack_pairs(np.empty((2, 0), np.int64), parts)
+        first = np.concatenate([[True], run[1:] != run[:-1]])
+        owner = ids[first][np.cumsum(first) - 1]
+        return pack_pairs(np.unique(np.stack([owner[~first], ids[~first]]), axis=1), parts)
 
     packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, exchange.SCHEMA)
-    return packed.groupBy("part").applyInArrow(find, "owner long, doc_id long")
+    return distinct_pairs(packed.groupBy("part").applyInArrow(find, exchange.PAIRS), "owner", "doc_id")
 
 
 def routes(pairs: DataFrame) -> DataFrame:
@@ -142,7 +143,6 @@ def changed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     pairs = keep(repeats(docs, window), "repeats")
     release(spark)
-    pairs = keep(pairs.distinct(), "pairs")
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     involved = keep(docs.join(routes(pairs), "doc_id"), "involved")
     release(spark)
