@@ -95,7 +95,7 @@ def word_ranges(rows: DataFrame, number: int) -> DataFrame:
     ahead = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_no", "chunk", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("source_no", "chunk").orderBy("doc_id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_no", "chunk"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("chunk", "inside", "ahead", "crc")
+    return rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_no", "chunk"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("chunk", "inside", "ahead")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -151,3 +151,36 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     given = taken_parts(rows, taken, block).groupBy("source_no", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # A range with words belongs to one row, so (source, start, size) is that row's key.
     return rows.join(given, ["source_no", "start", "size"], "left").select("doc_id", "size", "source", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus, with the columns of `docs`: for every time the mix takes words of a document a row with those words.
+
+    A text taken whole stays as it is; of one taken in part the words are joined by one space. n_chars, if there is
+    such a column, follows the text. Rows equal in id, text and source share one word range. What isn't taken is gone.
+    """
+    rows, taken = plan_mix(docs, weights, block, shards, seed)
+    rows = keep(rows, "mix-ranges")
+    parts = taken_parts(rows, taken, block).groupBy("source_no", "start", "size").agg(F.collect_list(F.struct("first", "words", "times")).alias("_parts"))
+    ranges = rows.join(parts, ["source_no", "start", "size"]).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("crc").alias("_crc"), "start", "_parts")
+    ranges = ranges.groupBy("_id", "_source", "_crc").agg(F.min_by("_parts", "start").alias("_parts"))
+    crc = F.crc32(F.coalesce(docs["text"], F.lit("")).cast("binary"))
+    joined = docs.join(ranges, docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")) & (crc == F.col("_crc"))).drop("_id", "_source", "_crc")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, texts = [], []
+            for i, (text, given) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_parts").to_pylist(), strict=True)):
+                words = text.encode().split()
+                given = sorted((p["first"], p["words"], p["times"]) for p in given)
+                for turn in range(1, max(t for *_, t in given) + 1):
+                    now = [words[a : a + n] for a, n, t in given if t >= turn]
+                    row.append(i)
+                    texts.append(text if sum(map(len, now)) == len(words) else b" ".join(w for part in now for w in part).decode())
+            out = batch.select([c for c in batch.schema.names if c != "_parts"]).take(pa.array(row, pa.int64()))
+            columns = {"text": pa.array(texts, pa.string())}
+            if "n_chars" in out.schema.names:
+                columns["n_chars"] = pa.array(map(len, texts), pa.int64()).cast(out.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([columns.get(c, out.column(c)) for c in out.schema.names], out.schema.names)
+
+    return joined.mapInArrow(cut, docs.schema)

@@ -172,11 +172,18 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS) -> list[
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame | None = None, rules: list[Rule] | None = None) -> DataFrame:
-    """Documents with their statistics, `base_failed` and `kept`.
+    """doc_id and text of every row, with the statistics, `base_failed` and `kept`.
 
     A null or empty text has no words and fails the base rules. Null ids and repeated rows are judged like others;
     an empty table gives no rows. Without labelled rows the base rules alone decide.
     """
     if rules is None:
         rules = fit(docs, labels) if labels is not None else []
-    return statistics(docs).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
+    return statistics(docs.select("doc_id", "text")).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(rules)))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents that are kept, with their own columns, whatever their names."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    judged = statistics(rows).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(verdict(fit(docs, labels))))
+    return judged.where("kept").select("_row.*")

@@ -170,10 +170,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     as they are. A row without an id or text stays and serves as no one's earlier document; rows that share an id
     don't count against each other. Extra columns stay. An empty table gives no rows.
     """
-    new = keep(changed(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "new_text"), "changed")
+    new = keep(changed(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("new_text").alias("_new")), "changed")
     rows = docs.withColumn("_key_of", F.xxhash64("text"))
     joined = rows.join(new, (F.col("doc_id") == F.col("_id")) & (F.col("_key_of") == F.col("_key")), "left")
-    return joined.withColumn("text", F.coalesce("new_text", "text")).select(*docs.columns)
+    return joined.withColumn("text", F.coalesce("_new", "text")).select(*docs.columns)
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
