@@ -361,11 +361,13 @@ def cross_validate(matrix: DataFrame, labels: DataFrame, assigned: DataFrame, gr
     SAMPLE_LIMIT squared cells; matrix and labels are joined per group, not collected on the driver.
     """
     spark = matrix.sparkSession
-    tasks = assigned.select("run", "fold").distinct().crossJoin(F.broadcast(spark.createDataFrame([(i,) for i in range(len(grid))], "cell int")))
+    cells = spark.createDataFrame([(i,) for i in range(len(grid))], "cell int")
+    tasks = assigned.select("run", "fold").distinct().crossJoin(F.broadcast(cells))
     jobs = matrix.crossJoin(F.broadcast(tasks))
-    info = assigned.join(labels, "seq_id")
-    sides = tasks.join(info.select("run", F.col("fold").alias("held"), "seq_id", F.col("y").cast("string").alias("y")), "run")
-    kernels = matrix.select("kernel").distinct()
+    info = assigned.join(labels, "seq_id").select(F.col("run").alias("r"), F.col("fold").alias("held"), "seq_id", F.col("y").cast("string").alias("y"))
+    sides = tasks.crossJoin(F.broadcast(matrix.select("kernel").distinct())).join(info, F.col("run") == F.col("r"))
+    # The two sides share ancestors; renamed columns tell them apart.
+    sides = sides.select(*(F.col(c).alias(f"_{c}") for c in ("kernel", "cell", "run", "fold")), "held", "seq_id", "y")
     regression = dict(labels.dtypes)["y"] in ("double", "float") and any(g.get("svm") == "eps-svr" for g in grid)
 
     def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -381,7 +383,7 @@ def cross_validate(matrix: DataFrame, labels: DataFrame, assigned: DataFrame, gr
         return pd.DataFrame([(kernel, cell, number, fold, s["error"], s["acc"], s["bacc"], len(model.support()) if model.coefficients else 0)], columns=["kernel", "cell", "run", "fold", "error", "acc", "bacc", "n_sv"])
 
     keys = ["kernel", "cell", "run", "fold"]
-    return jobs.groupBy(*keys).cogroup(sides.crossJoin(F.broadcast(kernels)).groupBy(*keys)).applyInPandas(run, "kernel string, cell int, run int, fold long, error double, acc double, bacc double, n_sv long")
+    return jobs.groupBy(*keys).cogroup(sides.groupBy(*(f"_{k}" for k in keys))).applyInPandas(run, "kernel string, cell int, run int, fold long, error double, acc double, bacc double, n_sv long")
 
 
 def grid_search(cells: DataFrame, objective: str = "acc") -> DataFrame:

@@ -32,6 +32,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in columns})
 
 
+def rounded_to(df: DataFrame, places: int) -> DataFrame:
+    """Rounded like its SQL, past a nudge: means of rounded values often fall halfway."""
+    return df.withColumn("contrib", F.round(F.col("contrib") + 1e-9, places))
+
+
 def docs(form: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: derived(spark, d, "documents", form)
 
@@ -128,7 +133,7 @@ def series(f: str, n: int) -> list[str]:
 
 km_positional("km_position_specific", SpectrumSpec(k=3, dist_weight=(1.0,)), ["1.0"])
 km_positional("km_position_unnormalized", SpectrumSpec(k=2, dist_weight=(1.0,), normalized=False), ["1.0"])
-km_positional("km_dist_linear", SpectrumSpec(k=3, dist_weight=lin_weight(5)), series("(1 - {d} / 5.0)", 5))
+km_positional("km_dist_linear", SpectrumSpec(k=3, dist_weight=lin_weight(4)), series("(1 - {d} / 4.0)", 4))
 km_positional("km_dist_exp", SpectrumSpec(k=3, dist_weight=tuple(map(exp_weight(2), range(8)))), series("exp(-{d} / 2.0)", 8))
 km_positional("km_dist_gauss", SpectrumSpec(k=4, dist_weight=tuple(map(gauss_weight(9), range(8)))), series("exp(-{d} * {d} / 9.0)", 8))
 km_positional("km_dist_swd", SpectrumSpec(k=4, dist_weight=tuple(map(swd_weight(), range(10)))), series("1 / (2.0 * ({d} + 1))", 10))
@@ -242,14 +247,14 @@ def profile_entry(name: str, spec, at: str) -> None:
     if occ is None:
         w = sql.windows("s", spec, spec.k, f"{spec.letters.char_class}{{{spec.k}}}")
         occ = f"SELECT seq_id, pos, k.w AS w, feature FROM ({w}) k JOIN ({sql.neighbour_table(spec, f'({w})')}) t ON k.w = t.w"
-    q = sql.with_(B_DNA, ("c", sql.counts("s", spec)), ("o", occ), ("z", NORM), UNIT, ("l", f"SELECT o.seq_id, pos, feature, {at} AS at FROM o"))
-    add(name, lambda s, d: rounded(explain.profile(bench("dna")(s, d), spec, unit_weights(s, d, spec)), "contrib"), q + "SELECT seq_id, CAST(pos + i AS BIGINT) AS pos, round(sum(part), 6) AS contrib FROM (SELECT l.seq_id, pos, u.w / len(at) / norm AS part, unnest(at) AS i FROM l JOIN u USING (feature) JOIN z USING (seq_id)) GROUP BY 1, 2")
+    q = sql.with_(B_DNA, ("c", sql.counts("s", spec)), ("o", occ), ("z", NORM), UNIT, ("l", f"SELECT o.seq_id, pos, feature, {at} AS spots FROM o"))
+    add(name, lambda s, d: rounded(explain.profile(bench("dna")(s, d), spec, unit_weights(s, d, spec)), "contrib"), q + "SELECT seq_id, CAST(pos + i AS BIGINT) AS pos, round(sum(part), 6) AS contrib FROM (SELECT l.seq_id, pos, u.w / len(spots) / norm AS part, unnest(spots) AS i FROM l JOIN u USING (feature) JOIN z USING (seq_id)) GROUP BY 1, 2")
 
 
 MASKS = "CASE feature " + " ".join(f"WHEN '{m}' THEN {at}" for m, at in zip(MOTIFS, ([0, 2], [0, 1, 2], [0, 1, 2, 3], [0, 1], [0, 1, 3, 4]), strict=True)) + " END"
 profile_entry("profile_spectrum", SpectrumSpec(k=3), "[0, 1, 2]")
 profile_entry("profile_gappy", GappySpec(k=1, m=2), "[0, length(feature) - 1]")
-profile_entry("profile_mismatch", MismatchSpec(k=3, m=1), "list_filter([0, 1, 2], i -> substr(w, CAST(i + 1 AS INT), 1) = substr(feature, CAST(i + 1 AS INT), 1))")
+profile_entry("profile_mismatch", MismatchSpec(k=3, m=1), "list_filter([0, 1, 2], lambda i: substr(w, CAST(i + 1 AS INT), 1) = substr(feature, CAST(i + 1 AS INT), 1))")
 profile_entry("profile_motif", MotifSpec(motifs=MOTIFS), MASKS)
 
 PROFILE = ORACLES["profile_spectrum"]
@@ -260,7 +265,7 @@ def profile3(s: SparkSession, d: str) -> DataFrame:
 
 
 add("profile_mixture", lambda s, d: rounded(explain.mixture_profile(bench("dna")(s, d), Mixture(((0.6, SpectrumSpec(k=3)), (0.4, GappySpec(k=1, m=2)))), [unit_weights(s, d, SpectrumSpec(k=3)), unit_weights(s, d, GappySpec(k=1, m=2))]), "contrib"))
-add("profile_smoothed", lambda s, d: rounded(explain.smoothed(profile3(s, d), 5), "contrib"), f"SELECT seq_id, pos, round(sum(contrib) OVER w / nullif(count(*) OVER w - 1, 0), 6) AS contrib FROM ({PROFILE}) WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+add("profile_smoothed", lambda s, d: rounded_to(explain.smoothed(profile3(s, d), 5), 4), f"SELECT seq_id, pos, round(sum(contrib) OVER w / nullif(count(*) OVER w - 1, 0) + 1e-9, 4) AS contrib FROM ({PROFILE}) WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 add("profile_row_order", lambda s, d: explain.profile_order(profile3(s, d)), f"SELECT seq_id, total, CAST(row_number() OVER (ORDER BY total DESC, seq_id) AS BIGINT) AS rank FROM (SELECT seq_id, round(sum(contrib), 6) AS total FROM ({PROFILE}) GROUP BY seq_id)")
 add("profile_baseline", lambda s, d: rounded(explain.baselines(docs("dna")(s, d), OFFSET), "baseline"), sql.with_(D_DNA) + f"SELECT seq_id, round(-{OFFSET} / length(seq), 6) + 0.0 AS baseline FROM s")
 

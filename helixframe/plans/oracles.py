@@ -11,11 +11,13 @@ def with_(*ctes: tuple[str, str]) -> str:
 
 
 def windows(seqs: str, spec: Spec, width: int, pattern: str) -> str:
+    # Cut at every offset j below the width: substr() at each position would scan long sequences again and again.
     seq = "seq" if spec.ignore_lower else "upper(seq)"
-    at = f"SELECT seq_id, off, annotation, seq, unnest(range(1, length(seq) - {width} + 2)) AS i FROM {seqs}"
-    rows = f"SELECT seq_id, CAST(i - off AS BIGINT) AS pos, substr({seq}, i, {width}) AS w, substr(annotation, i, {width}) AS ann FROM ({at})"
+    cut = lambda c: f"regexp_extract_all(substr({c}, CAST(j + 1 AS INT)), '.{{{width}}}')"
+    lists = f"SELECT seq_id, off, j, {cut(seq)} AS ws, {cut('annotation') if spec.annotated else 'NULL'} AS anns FROM {seqs}, range({width}) AS t(j)"
+    rows = f"SELECT seq_id, CAST(j + 1 - off AS BIGINT) AS first, unnest(ws) AS w, {'unnest(anns)' if spec.annotated else 'NULL'} AS ann, unnest(range(len(ws))) AS turn FROM ({lists})"
     mask = " AND ann NOT LIKE '%-%'" if spec.annotated else ""
-    return f"SELECT * FROM ({rows}) WHERE regexp_full_match(w, '{pattern}'){mask}"
+    return f"SELECT seq_id, first + turn * {width} AS pos, w, ann FROM ({rows}) WHERE regexp_full_match(w, '{pattern}'){mask}"
 
 
 def reverse_complement(w: str, spec: Spec) -> str:
