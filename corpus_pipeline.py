@@ -9,8 +9,9 @@ from helixframe.llm.jaccard import first_of_groups
 from helixframe.llm.mixing import mixed_documents
 from helixframe.llm.packing import pack_documents
 from helixframe.llm.quality import good_documents
-from helixframe.llm.storage import keep, ship
+from helixframe.llm.storage import keep
 from helixframe.llm.substrings import dedup_substrings
+from helixframe.sources.shipping import ship
 
 #: SQL can't state the learned rules, the random mix and the packing; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
 from .ann import nearest
 from .html_text import extract_text
 from .jaccard import near_groups
@@ -13,7 +14,6 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import judge_quality
 from .sharding import shard_documents
-from .storage import ship
 from .substrings import removal_report
 from .urls import judge_urls
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,17 +30,3 @@ def release(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers once per application, as they may not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_helixframe_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    # The driver serves the file from its place, so the folder stays as long as the driver does.
-    path = Path(tempfile.mkdtemp(prefix="helixframe-code-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as archive:
-        for file in sorted(top.rglob("*.py")):
-            archive.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(path))
-    context._helixframe_shipped = True
