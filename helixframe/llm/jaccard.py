@@ -8,10 +8,11 @@ subsets (and, in some segments, their one-deletion neighbourhoods); larger ones
 
 Plan: (1) one pass gives every document's set size, 128-bit set hash and a 64-cell count sketch; equal sets form
 classes, so copies aren't compared. (2) A second pass sends signatures in packed blocks (about 0.7 a shingle, 8
-bytes each); buckets give candidate pairs, a large bucket first those with its smallest document only. (3) The
-sketches give an exact bound that drops most false candidates, the others are verified on their whole sets.
-(4) Components are found; a large bucket whose documents are all linked by then needs no more pairs, of the others
-all pairs between components are verified too. No link between different sets is lost.
+bytes each); small buckets give all their pairs, larger ones first only, for each document, the pair with the
+smallest document it shares one with. (3) The sketches give an exact bound that drops most false candidates, the
+others are verified on their whole sets. (4) Components are found; a larger bucket whose documents are all linked by
+then needs no more pairs, of the others all pairs between components go through (3) too, made in blocks of bounded
+size. No link between different sets is lost, and a group of near copies doesn't bring the square of its size.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ COLLISION_COST = 8.0
 #: Keys over which a band's documents are spread for the rare document whose segments can't give H + 1.
 SPREAD = 64
 #: Documents in a bucket up to which all its pairs are compared at once.
-BUCKET = 24
+BUCKET = 4
+#: Documents in a block of a larger bucket, of which pairs between components are made.
+BLOCK = 1000
 CELLS = 64
 INDEX, PROBE = 1, 2
 FACTS = "doc_id long, n_shingles long, h1 long, h2 long, cells binary"
@@ -195,8 +198,16 @@ def signatures(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent
         yield from probes(cut, differ_most(low[own[below]] - 1 + sizes[below], percent) + 1, band, ids[below], False)
 
 
-def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one part: pairs (2, n) to compare, and the members (key, id) and tags of large buckets."""
+def distinct(pairs: np.ndarray, least: bool = False) -> np.ndarray:
+    """Distinct columns of (2, n) pairs, or for each second id the one with the smallest first."""
+    pairs = pairs[:, np.lexsort((pairs[0], pairs[1]))]
+    once = np.ones(pairs.shape[1], bool)
+    once[1:] = pairs[1, 1:] != pairs[1, :-1] if least else (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    return pairs[:, once]
+
+
+def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one part: all pairs (2, n) of small buckets, each document's pair with the smallest one of its large buckets, and these buckets' members (key, id) and tags."""
     order = np.lexsort((ids, keys))
     keys, ids, tags = keys[order], ids[order], tags[order]
     new = np.ones(len(keys), bool)
@@ -224,20 +235,15 @@ def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[n
         held = np.isin(run, large) & (probed & found)[run]
         rest = held.copy()
         rest[begin] = False
-        pairs.append(np.stack([ids[begin[run[rest]]], ids[rest]]))
+        stars = distinct(np.stack([ids[begin[run[rest]]], ids[rest]]), least=True)
         members, member_tags = np.stack([keys[held].view(np.int64), ids[held]]), tags[held]
     else:
-        members, member_tags = np.empty((2, 0), np.int64), np.empty(0, np.int8)
-    both = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
-    order = np.lexsort((both[1], both[0]))
-    both = both[:, order]
-    once = np.ones(both.shape[1], bool)
-    once[1:] = (both[:, 1:] != both[:, :-1]).any(axis=0)
-    return both[:, once], members, member_tags
+        stars, members, member_tags = np.empty((2, 0), np.int64), np.empty((2, 0), np.int64), np.empty(0, np.int8)
+    return distinct(np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)), stars, members, member_tags
 
 
 def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(bucket, pairs, key, id, tag): rows of packed pairs to compare, and large buckets' members, whose key isn't null."""
+    """(bucket, least, pairs, key, id, tag): rows of packed pairs to compare, and large buckets' members, whose key isn't null."""
     parts = parts_for(shingles * 7 // 10)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,11 +265,11 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
         yield packer.flush()
 
     def find(table: pa.Table) -> pa.Table:
-        pairs, members, tags = bucket_pairs(*unpack(table))
-        packed = pack_pairs(pairs, parts)
+        pairs, stars, members, tags = bucket_pairs(*unpack(table))
+        packed = pa.concat_tables([pack_pairs(pairs, parts), pack_pairs(stars, parts, least=True)])
         n, m = packed.num_rows, members.shape[1]
         columns = {"key": (pa.array(members[0]), pa.int64()), "id": (pa.array(members[1]), pa.int64()), "tag": (pa.array(tags, pa.int32()), pa.int32())}
-        out = {c: pa.chunked_array([*packed.column(c).chunks, pa.nulls(m, packed.schema.field(c).type)]) for c in ("bucket", "pairs")}
+        out = {c: pa.chunked_array([*packed.column(c).chunks, pa.nulls(m, packed.schema.field(c).type)]) for c in packed.schema.names}
         return pa.table(out | {c: pa.chunked_array([pa.nulls(n, t), x]) for c, (x, t) in columns.items()})
 
     packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, exchange.SCHEMA)
@@ -289,6 +295,39 @@ def plausible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> Data
     return alike.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def crossing_pairs(placed: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs of one bucket's documents in different components that sketches and sizes don't rule out.
+
+    placed: (bucket, node, tag, component, members). A bucket is cut into blocks; each two blocks meet in a group of
+    their own, so that no task holds more than two blocks of a bucket.
+    """
+    known = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "cells")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    sided = placed.join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    sided = sided.select("bucket", "node", "tag", "component", "n", "cells", "block", other.alias("other"))
+    sided = sided.select("bucket", "node", "tag", "component", "n", "cells", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, component, n, tag, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "tag", "block"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        low = table.column("low")[0].as_py()
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == table.column("high")[0].as_py())
+        found = []
+        for i in left.tolist():
+            at = right[(component[right] != component[i]) & (node[right] != node[i])]
+            total = n[at] + n[i]
+            good = (np.minimum(n[at], n[i]) * 100 >= percent * np.maximum(n[at], n[i])) & (((tag[at] & PROBE > 0) & (tag[i] & INDEX > 0)) | ((tag[at] & INDEX > 0) & (tag[i] & PROBE > 0)))
+            at, total = at[good], total[good]
+            shared = (total - np.abs(cells[at] - cells[i]).sum(axis=1)) // 2
+            at = at[shared * (100 + percent) >= percent * total]
+            found.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
+        both = distinct(np.concatenate(found, axis=1)) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    return sided.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(u, v): the pairs whose whole sets are similar enough. Only the texts of documents in pairs are read anew."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -333,7 +372,7 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     release(spark)
     classes = used.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = used.select("h1", "h2", F.col("doc_id").alias("u")).join(classes, ["h1", "h2"]).where("u <> v").select("u", "v")
-    pairs = keep(plausible(distinct_pairs(found.where("key IS NULL").select("bucket", "pairs"), "a", "b"), used, percent), "plausible")
+    pairs = keep(plausible(distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct(), used, percent), "plausible")
     edges = keep(copies.unionByName(verified(pairs, docs, k, percent)), "links")
     release(spark)
     groups = components(edges)
@@ -341,12 +380,9 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     if not members.isEmpty():
         # Large buckets: documents in different components by now are compared one by one.
         placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
         placed = keep(placed.join(mixed, "bucket"), "mixed")
-        x, y = placed.alias("x"), placed.alias("y")
-        meet = f"x.component < y.component AND ((x.tag & {PROBE} > 0 AND y.tag & {INDEX} > 0) OR (x.tag & {INDEX} > 0 AND y.tag & {PROBE} > 0))"
-        more = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & F.expr(meet)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        more = keep(plausible(more.join(pairs, ["a", "b"], "left_anti"), used, percent), "plausible")
+        more = keep(crossing_pairs(placed, used, percent).join(pairs, ["a", "b"], "left_anti"), "crossing")
         groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, docs, k, percent)))
     return rows.join(groups, rows["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
