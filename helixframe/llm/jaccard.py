@@ -46,6 +46,8 @@ SPREAD = 64
 BUCKET = 4
 #: Documents in a block of a larger bucket, of which pairs between components are made.
 BLOCK = 1000
+#: Groups in which the blocks' pairs are merged.
+MERGES = 256
 CELLS = 64
 INDEX, PROBE = 1, 2
 FACTS = "doc_id long, n_shingles long, h1 long, h2 long, cells binary"
@@ -295,11 +297,19 @@ def plausible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> Data
     return alike.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def crossing_stars(placed: DataFrame) -> DataFrame:
+    """(a, b): each bucket's smallest document with those of other components."""
+    least = placed.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("x"))
+    joined = placed.join(least, "bucket").where("component <> x.component")
+    return joined.select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def crossing_pairs(placed: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): pairs of one bucket's documents in different components that sketches and sizes don't rule out.
 
     placed: (bucket, node, tag, component, members). A bucket is cut into blocks; each two blocks meet in a group of
-    their own, so that no task holds more than two blocks of a bucket.
+    their own, so that no task holds more than two blocks of a bucket. Buckets repeat each other's pairs, so these are
+    merged as arrays before they become rows.
     """
     known = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "cells")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -323,14 +333,13 @@ def crossing_pairs(placed: DataFrame, rows: DataFrame, percent: int = PERCENT) -
             at = at[shared * (100 + percent) >= percent * total]
             found.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
         both = distinct(np.concatenate(found, axis=1)) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+        return pack_pairs(both, MERGES)
 
-    return sided.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    return distinct_pairs(sided.groupBy("bucket", "low", "high").applyInArrow(meet, exchange.PAIRS), "a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(u, v): the pairs whose whole sets are similar enough. Only the texts of documents in pairs are read anew."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc_id, elements): the shingle sets of documents that have a candidate, for all rounds; only their texts are exchanged once."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,6 +348,13 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int =
                 raw = memoryview(values).cast("B")
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "elements"])
 
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(ids, "doc_id").mapInArrow(sets, "doc_id long, elements binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(u, v): the pairs whose whole sets are similar enough."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -351,9 +367,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int = SHINGLE, percent: int =
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["u", "v"])
 
-    found = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").mapInArrow(sets, "doc_id long, elements binary")
-    found = keep(found, "sets")
-    joined = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(found.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
 
 
@@ -372,18 +386,26 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     release(spark)
     classes = used.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     copies = used.select("h1", "h2", F.col("doc_id").alias("u")).join(classes, ["h1", "h2"]).where("u <> v").select("u", "v")
-    pairs = keep(plausible(distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct(), used, percent), "plausible")
-    edges = keep(copies.unionByName(verified(pairs, docs, k, percent)), "links")
-    release(spark)
-    groups = components(edges)
+    first = keep(distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct(), "pairs")
+    pairs = keep(plausible(first, used, percent), "plausible")
     members = found.where("key IS NOT NULL").select(F.col("key").alias("bucket"), F.col("id").alias("node"), "tag")
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(members.select(F.col("node").alias("doc_id"))).distinct()
+    sets = keep(whole_sets(docs, wanted, k), "sets")
+    release(spark)
+    groups = components(keep(copies.unionByName(verified(pairs, sets, percent)), "links"))
+    release(spark)
+    tried = pairs
     if not members.isEmpty():
-        # Large buckets: documents in different components by now are compared one by one.
-        placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
-        placed = keep(placed.join(mixed, "bucket"), "mixed")
-        more = keep(crossing_pairs(placed, used, percent).join(pairs, ["a", "b"], "left_anti"), "crossing")
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(more, docs, k, percent)))
+        # Larger buckets: first their smallest documents, then all documents, with those that are in other components by now.
+        for make in (lambda placed: plausible(crossing_stars(placed), used, percent), lambda placed: crossing_pairs(placed, used, percent)):
+            placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
+            placed = keep(placed.join(mixed, "bucket"), "mixed")
+            more = keep(make(placed).join(tried, ["a", "b"], "left_anti"), "crossing")
+            links = keep(verified(more, sets, percent), "links")
+            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            tried = tried.unionByName(more)
+            release(spark)
     return rows.join(groups, rows["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
