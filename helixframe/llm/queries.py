@@ -11,6 +11,7 @@ from .html_text import extract_text
 from .jaccard import near_groups
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .oracles import ORACLES
 from .packing import pack_documents
 from .quality import judge_quality
 from .sharding import shard_documents
@@ -66,4 +67,4 @@ def op10_url_filter(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_block_matrix_neighbours, op2_best_fit_packing, op3_jaccard_join, op4_substring_dedup, op5_license_scan, op6_histogram_sharding, op7_source_mixing, op8_html_extraction, op9_quality_rules, op10_url_filter)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
