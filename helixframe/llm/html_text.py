@@ -23,10 +23,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown as text, or belongs to a control.
 HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas select textarea button datalist audio video".split())
+#: Elements that may stand in a head; any other one, or text, ends it, as </head> may be left out.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements and names of classes or ids that hold what isn't the article.
 OUTSIDE = frozenset("nav header footer aside form menu dialog".split())
 OUTSIDE_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer bottom sidebar aside widget related recommended ad ads advert adverts advertisement banner sponsor sponsored promo notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search comment comments commentlist reply replies respond disqus discussion share sharing social toolbar pagination pager tags copyright legal disclaimer hidden".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+#: Parts of a name after which the others tell how an element is laid out, not what it is: no-sidebar, overflow-hidden.
+LAYOUT = frozenset("no not has have with without overflow backface".split())
+#: Part of a page's words that an element holds if it is taken for the whole page.
+NEARLY_ALL = 0.9
 #: Elements and names that hold the article.
 INSIDE = frozenset("article main".split())
 INSIDE_NAMES = frozenset("article post entry content story body main text articlebody".split())
@@ -103,15 +109,18 @@ def keeps(node: Node, row: tuple) -> bool:
 
 
 @lru_cache(4096)
-def names(attributes: str) -> tuple[bool, bool]:
-    """Whether an element's attributes say that it is outside or inside the article."""
-    outside = inside = False
+def names(attributes: str) -> tuple[bool, int, bool]:
+    """What an element's attributes say: that it is outside by role or hidden, by a name (2: a name of its own, 1: a part of one), and inside by name or role."""
+    outside, named, inside = False, 0, False
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id", "itemprop"):
-            parts = set(re.split(r"[^a-z]+", value))
-            outside |= not parts.isdisjoint(OUTSIDE_NAMES)
-            inside |= not parts.isdisjoint(INSIDE_NAMES)
+            for word in value.split():
+                parts = re.split(r"[^a-z]+", word)
+                inside |= not INSIDE_NAMES.isdisjoint(parts)
+                layout = next((i for i, x in enumerate(parts) if x in LAYOUT), len(parts))
+                if not OUTSIDE_NAMES.isdisjoint(parts[:layout]):
+                    named = max(named, 2 if word in OUTSIDE_NAMES else 1)
         elif key == "role":
             outside |= value in OUTSIDE_ROLES
             inside |= value in ("main", "article")
@@ -119,14 +128,41 @@ def names(attributes: str) -> tuple[bool, bool]:
             outside |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             outside |= key == "hidden" or value == "true"
-    return outside, inside and not outside
+    return outside, named, inside
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
+Block = tuple[str, int, int, bool, bool, bool]
+
+
+def blocks(page: str) -> list[Block]:
     """Text blocks in page order: text, words, words in links, outside, inside, heading or paragraph."""
+    found, holders, wrappers = parsed(page)
+    # An element that is outside by its name only, but is as good as the whole page, is no part beside the article.
+    total = sum(b[1] for b in found if not b[3])
+    freed: set[int] = set()
+    for e, (_, marks) in enumerate(wrappers):
+        within = [e in h for h in holders]
+        if total and sum(b[1] for b, w in zip(found, within, strict=True) if w and not b[3]) >= NEARLY_ALL * total:
+            now = settled(found, holders, wrappers, freed)
+            rest = [b for b, w in zip(now, within, strict=True) if not w]
+            if not any(b[4] for b in rest) and (marks or not any(kept(rest))):
+                freed.add(e)
+    return settled(found, holders, wrappers, freed) if wrappers else found
+
+
+def settled(found: list[Block], holders: list[tuple[int, ...]], wrappers: list[tuple[bool, bool]], freed: set[int]) -> list[Block]:
+    """The blocks with what the elements that are outside by name say of them; freed ones count for what else they are."""
+    return [(*b[:3], b[3] or not freed.issuperset(h), b[4] or any(wrappers[e][0] for e in freed.intersection(h)), b[5]) for b, h in zip(found, holders, strict=True)]
+
+
+def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bool, bool]]]:
+    """The blocks without what names say against them, for each the elements around it that are outside by name, and of these elements whether they are inside otherwise and whether an article or main stands in them."""
     out, parts, linked = [], [], []
-    stack: list[tuple[str, bool, bool]] = []
-    outside = inside = 0
+    holders: list[tuple[int, ...]] = []
+    wrappers: list[list[bool]] = []
+    around: list[int] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    outside = inside = articles = 0
     link, kind = 0, ""
     at, end = 0, len(page)
 
@@ -135,9 +171,20 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 out.append((text, text.count(" ") + 1, len(html.unescape(" ".join(linked)).split()), outside > 0, inside > 0, kind in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td")))
+                holders.append(tuple(around))
             parts.clear()
             linked.clear()
 
+    def pop(i: int) -> None:
+        nonlocal outside, inside, articles
+        for element, o, n, w in stack[i:]:
+            outside -= o
+            inside -= n
+            articles -= element == "article"
+            if w:
+                around.pop()
+        del stack[i:]
+
     while at < end:
         m = TOKEN.match(page, at)
         if m is None:  # an unfinished tag is the page's end
@@ -145,6 +192,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         at = m.end()
         slash, name, attributes, text = m.group(1, 2, 3, 4)
         if text is not None:
+            if stack and stack[-1][0] == "head" and not text.isspace():
+                close()
+                pop(len(stack) - 1)
             parts.append(text)
             if link:
                 linked.append(text)
@@ -160,14 +210,14 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if slash:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, o, n in stack[i:]:
-                        outside -= o
-                        inside -= n
-                    del stack[i:]
+                    pop(i)
                     break
             if name not in INLINE:
                 kind = ""
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            close()
+            pop(len(stack) - 1)
         if name in RAW_END and not attributes.endswith("/"):
             m = RAW_END[name].search(page, at)
             at = m.end() if m else end
@@ -177,36 +227,48 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if name not in INLINE:
             kind = name
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                _, o, n = stack.pop()  # these end where the next begins
-                outside -= o
-                inside -= n
-        o, n = names(attributes) if attributes else (False, False)
+                pop(len(stack) - 1)  # these end where the next begins
+        o, named, n = names(attributes) if attributes else (False, 0, False)
         if name in ("body", "html"):
-            o = n = False
+            o, named, n = False, 0, False
         o = o or name in OUTSIDE or name in HIDDEN
         n = not o and (n or name in INSIDE)
-        if o or n or name not in INLINE:
-            if o and name in INLINE:
+        # A main is the page's one; an article is something else by a name of its own, or as a part of another article.
+        w = not o and (named == 2 or articles > 0 if name == "article" else name != "main") and named > 0
+        if o or n or w or name not in INLINE:
+            if (o or w) and name in INLINE:
                 close()
-            stack.append((name, o, n))
+            if not o and not w and name in INSIDE:
+                for e in around:
+                    wrappers[e][1] = True
+            if w:
+                around.append(len(wrappers))
+                wrappers.append([n, False])
+                n = False
+            stack.append((name, o, n, w))
             outside += o
             inside += n
+            articles += name == "article"
     close()
-    return out
+    return out, holders, [(n, marks) for n, marks in wrappers]
 
 
-def main_text(page: str) -> str:
-    """The blocks that the tree takes for article text, joined in page order by one space."""
-    found = blocks(page)
+def kept(found: list[Block]) -> list[bool]:
+    """Whether the tree takes each block for article text."""
     marked = any(b[4] for b in found)
     density = [b[2] / b[1] for b in found]
-    model, kept = tree(), []
-    for i, (text, words, _, outside, inside, paragraph) in enumerate(found):
+    model, out = tree(), []
+    for i, (_, words, _, outside, inside, paragraph) in enumerate(found):
         before, after = i > 0, i + 1 < len(found)
         row = (words, density[i], found[i - 1][1] if before else 0, density[i - 1] if before else 0, found[i + 1][1] if after else 0, density[i + 1] if after else 0, outside, inside, marked, paragraph)
-        if keeps(model, row):
-            kept.append(text)
-    return " ".join(kept)
+        out.append(keeps(model, row))
+    return out
+
+
+def main_text(page: str) -> str:
+    """The blocks that the tree takes for article text, joined in page order by one space."""
+    found = blocks(page)
+    return " ".join(b[0] for b, keep in zip(found, kept(found), strict=True) if keep)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -289,6 +289,24 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_html_open_heads_and_layout_names():
+    text = "word " * 29 + "word"
+    para = f"<p>{text}</p>"
+    for head in ("<html><head><title>T</title><body>", "<html><head><meta charset=utf-8><link rel=x href=y>\n", "<head><script>1</script>\n<body class=page>", "<head><title>T</title></head><body>"):
+        assert html_text.main_text(f"{head}<article>{para}</article>") == text
+        assert html_text.main_text(head + para) == text
+    assert html_text.main_text(f"<head><title>T</title>{text}") == text
+    assert html_text.main_text(f"<head><object>{para}</object></head><body>{para}") == text
+    for open_tag in ("<article class='overflow-hidden'>", "<main class='no-sidebar'>", "<main class=search>", "<article class='post tag-banner'>", "<div class='site has-sidebar'>", "<div id=page class='lg:overflow-x-hidden'>", "<div class='layout sidebar-left'>", "<div class='page-search'><div class=content>"):
+        assert html_text.main_text(f"<body><nav>Menu of pages</nav>{open_tag}{para}<div class=comments>{para}</div>") == text, open_tag
+    # The real outsides stay out: comments longer than the article, comments that are articles, hidden articles.
+    long = "<p>" + "talk " * 2000 + "</p>"
+    assert html_text.main_text(f"<article>{para}</article><div class=comments>{long}</div>") == text
+    assert html_text.main_text(f"{para}<div class=comments>{long}</div>") == text
+    assert html_text.main_text(f"<article>{para}<article class='comment-body'>{para}</article></article><article class=comment>{para}</article>") == text
+    assert html_text.main_text(f"<article hidden>{para}</article>") == ""
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------
 
 
