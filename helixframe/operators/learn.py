@@ -7,15 +7,21 @@ of a grouped map. Larger linear problems go to the distributed solver on explici
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_LIMIT = 5_000
+#: Groups in which features are numbered.
+INDEX_BUCKETS = 1_024
+#: Features up to which their numbers are sent to every executor; more are joined by a shuffle.
+BROADCAST_FEATURES = 1_000_000
 
 
 # --- solvers -----------------------------------------------------------------------------------------------------
@@ -407,15 +413,32 @@ def nested(matrix: DataFrame, labels: DataFrame, outer: DataFrame, inner_folds:
     return spark.createDataFrame(out, "fold long, kernel string, cell int, error double")
 
 
+def feature_index(rep: DataFrame) -> tuple[DataFrame, int]:
+    """((feature, i), number): the features of a representation, numbered from 0 without a gap. The driver holds one count a bucket."""
+    # Numbers follow from the features alone, so what is lost of the cached table is made again as it was.
+    found = rep.select("feature").where(F.col("feature").isNotNull()).distinct().withColumn("bucket", F.pmod(F.xxhash64("feature"), F.lit(INDEX_BUCKETS))).persist()
+    counts = {r["bucket"]: r["count"] for r in found.groupBy("bucket").count().collect()}
+    starts = list(itertools.accumulate((counts[b] for b in sorted(counts)), initial=0))
+    if starts[-1] >= 2**31:
+        raise ValueError(f"{starts[-1]} features are more than a vector can have")
+    begin = rep.sparkSession.createDataFrame(list(zip(sorted(counts), starts)), "bucket long, start long")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("feature"))
+    return found.withColumn("place", place).join(F.broadcast(begin), "bucket").select("feature", (F.col("start") + F.col("place") - 1).cast("int").alias("i")), starts[-1]
+
+
 def fit_linear_large(rep: DataFrame, labels: DataFrame, c: float = 1.0, positive: str = "1", rounds: int = 100) -> tuple[DataFrame, float]:
-    """((feature, w), b) of a two-class linear machine on an explicit representation of any number of sequences, by Spark's distributed solver."""
+    """((feature, w), b) of a two-class linear machine on an explicit representation of any number of sequences, by Spark's distributed solver.
+
+    All features take part. Sequences are sparse vectors; the solver's own state, about 20 numbers a feature, is
+    the driver's.
+    """
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    names = [r["feature"] for r in rep.select("feature").distinct().orderBy("feature").limit(1_000_000).collect()]
-    index = rep.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], "feature string, i int")
-    rows = rep.join(F.broadcast(index), "feature").groupBy("seq_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m")).join(labels, "seq_id")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    data = rows.select(array_to_vector(dense).alias("features"), F.when(F.col("y").cast("string") == positive, 1.0).otherwise(0.0).alias("label"))
+    index, n = feature_index(rep)
+    vector = F.udf(lambda cells: Vectors.sparse(n, [x["i"] for x in cells], [x["v"] for x in cells]), VectorUDT())
+    rows = rep.join(F.broadcast(index) if n <= BROADCAST_FEATURES else index, "feature").groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("cells")).join(labels, "seq_id")
+    data = rows.select(vector("cells").alias("features"), F.when(F.col("y").cast("string") == positive, 1.0).otherwise(0.0).alias("label"))
     model = LinearSVC(regParam=1 / (max(1, data.count()) * c), standardization=False, maxIter=rounds).fit(data)
-    return rep.sparkSession.createDataFrame([(f, float(w)) for f, w in zip(names, model.coefficients.toArray(), strict=True)], "feature string, w double"), float(model.intercept)
+    weights = rep.sparkSession.createDataFrame(pa.table({"i": pa.array(np.arange(n), pa.int32()), "w": model.coefficients.toArray()}))
+    return index.join(weights, "i").select("feature", "w"), float(model.intercept)

@@ -83,6 +83,18 @@ def test_large_linear_and_stream(spark, tmp_path):
     assert {r["seq_id"]: pytest.approx(r["decision"]) for r in spark.table("scored").collect()} == batch
 
 
+def test_large_linear_has_no_cap_on_features(spark):
+    # A million features sort before those that some sequences hold alone.
+    common = spark.range(1_000_000).select((F.col("id") % 100).alias("seq_id"), F.concat(F.lit("a"), "id").alias("feature"), F.lit(0.01).alias("v"))
+    own = spark.createDataFrame([(i, f"z{i % 2}", 1.0) for i in range(100, 120)], "seq_id long, feature string, v double")
+    labels = spark.range(120).select(F.col("id").alias("seq_id"), (F.col("id") % 2).cast("string").alias("y"))
+    index, n = learn.feature_index(common.unionByName(own))
+    assert n == 1_000_002 and index.agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.countDistinct("feature")).first() == (0, n - 1, n, n)
+    w, _ = learn.fit_linear_large(common.unionByName(own), labels, rounds=5)
+    got = {r["feature"]: r["w"] for r in w.where("feature LIKE 'z%'").collect()}
+    assert w.count() == 1_000_002 and got["z1"] > 0 > got["z0"]
+
+
 def test_planner():
     assert choose_method(SpectrumSpec(k=3), 100).method == "representation"
     assert choose_method(SpectrumSpec(k=12), 100).method == "matrix"
