@@ -25,7 +25,7 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END = 0
 BLOCK_PIECES = 16_384
-#: Steps of the search in a block after which its best packing so far stands.
+#: Steps of each of the two searches in a block after which its best packing so far stands.
 NODE_LIMIT = 4_000
 #: Words a worker remembers with their ids.
 CACHE_WORDS = 600_000
@@ -142,11 +142,7 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """The undominated fillings of a room, best first: no filling whose items fit item by item into those of another is kept.
-
-    The largest single item comes first in its class; for every larger first item the largest second one is taken,
-    and what room remains is filled by the largest items that fit.
-    """
+    """A few good fillings of a room, fullest first, for the quick search: first items with the largest second one that fits, and what room remains is filled by the largest items that fit."""
     there = np.flatnonzero(counts[: room + 1])
     there = there[there > 0]
     if not len(there):
@@ -185,55 +181,118 @@ def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda f: (found[f], len(f), [-x for x in f]))
 
 
+def dominated(filling: list[tuple[int, int]], left: int, there: int, counts: list[int]) -> bool:
+    """Whether an item that stays out could take the place of some of a filling's (or of the room left) and be larger, or as large as several: then another filling is as good.
+
+    Sets of sizes are bits of numbers; there has the sizes that come at all.
+    """
+    sums, several = 1, 0
+    for size, times in filling:
+        if counts[size] == times:
+            there &= ~(1 << size)
+        for _ in range(times):
+            several |= several << size | (sums & ~1) << size
+            sums |= sums << size
+    width, reach = 1, sums << 1
+    while width < left:
+        step = min(width, left - width)
+        reach |= reach << step
+        width += step
+    return bool(there & (several | reach if left else several))
+
+
+def completions(counts: np.ndarray, room: int, spare: int) -> Iterator[tuple[int, ...] | bool]:
+    """All undominated fillings of a room that leave no more than spare of it, large items first; False for every step without one."""
+    sizes = np.arange(room + 1)
+    volume = np.cumsum(counts[: room + 1] * sizes).tolist()
+    down = np.maximum.accumulate(np.where(counts[: room + 1] > 0, sizes, 0)).tolist()
+    number = counts[: room + 1].tolist()
+    there = sum(1 << x for x in range(1, room + 1) if number[x])
+
+    def extend(filling: list[tuple[int, int]], left: int, below: int) -> Iterator[tuple[int, ...] | bool]:
+        x = down[min(left, below)]
+        if not x:
+            good = left <= spare and not dominated(filling, left, there, number)
+            yield tuple(size for size, times in filling for _ in range(times)) if good else False
+        while x:
+            if left - volume[x] > spare:
+                yield False
+                return
+            for times in range(min(number[x], left // x), 0, -1):
+                yield from extend([*filling, (x, times)], left - x * times, x - 1)
+            x = down[x - 1]
+
+    return extend([], room, room)
+
+
+def search(counts: np.ndarray, bins: list[list[int]], bound: int, capacity: int, limit: int, branch: int | None) -> list[list[int]]:
+    """The best packing found from the incumbent `bins` on, within `limit` steps. branch: how many fillings are tried at a node; None: all, and bins are equal as often as any packing may have it, so that a search which ends before its limit proves its result."""
+    left, path, nodes = counts.copy(), [], 0
+    volume = int(counts @ np.arange(capacity + 1))
+    allowed = (len(bins) - 1) * capacity - volume
+    waste, options, again, closed = 0, None, None, frozenset()
+    top = capacity
+    while nodes < limit:
+        while top and not left[top]:
+            top -= 1
+        if not top and options is None:
+            bins = [[s, *f] for s, f, m, *_ in path for _ in range(m)]
+            allowed = (len(bins) - 1) * capacity - volume
+            if len(bins) <= bound:
+                break
+            options = iter(())
+        elif options is None:
+            nodes += 1
+            left[top] -= 1
+            options = iter(fillings(left, capacity - top, branch)) if branch else completions(left.copy(), capacity - top, allowed - waste)
+            left[top] += 1
+            # Fillings closed around this size are done: how often they come is already chosen.
+            closed = path[-1][5] | {path[-1][1]} if not branch and path and path[-1][0] == top else frozenset()
+        step, most = again or (next(options, None), None)
+        again = None
+        if step is False:
+            nodes += 1
+            continue
+        if step is not None:
+            if most is None and step in closed:
+                continue
+            use = np.bincount([top, *step], minlength=capacity + 1)
+            each = np.flatnonzero(use)
+            times = most or int((left[each] // use[each]).min())
+            each_lost = capacity - top - sum(step)
+            if waste + times * each_lost > allowed:
+                times = max(0, allowed - waste) // each_lost if each_lost and waste <= allowed else 0
+            lost = times * each_lost
+            if times > 0:
+                left[each] -= use[each] * times
+                path.append((top, step, times, options, lost, closed))
+                waste, options = waste + lost, None
+            continue
+        if not path:
+            break
+        top, step, times, options, lost, closed = path.pop()
+        nodes += 1
+        waste -= lost
+        for x in (top, *step):
+            left[x] += times
+        if not branch and times > 1:
+            again = (step, times - 1)
+    return bins
+
+
 def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY, node_limit: int = NODE_LIMIT, branch: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every item. The incumbent is best-fit decreasing; bin completion searches for fewer bins.
 
     A node closes bins around the largest item left: equal bins are closed together. A branch is cut when the
-    bins it must still open, by the waste so far and the volume left, reach the incumbent's number.
+    bins it must still open, by the waste so far and the volume left, reach the incumbent's number. A quick search
+    tries a few good fillings at every node; if the bound isn't reached, a second one goes through all undominated ones.
     """
     counts = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     bins = best_fit(counts, capacity)
-    bound, volume = least_bins(counts, capacity), int(sizes.sum())
-    if len(bins) > bound:
-        left, path, nodes = counts.copy(), [], 0
-        allowed = (len(bins) - 1) * capacity - volume
-        waste, options = 0, None
-        top = capacity
-        while nodes < node_limit:
-            while top and not left[top]:
-                top -= 1
-            if not top:
-                bins = [[s, *f] for s, f, m, _, _ in path for _ in range(m)]
-                allowed = (len(bins) - 1) * capacity - volume
-                if len(bins) <= bound:
-                    break
-                options = iter(())
-            elif options is None:
-                nodes += 1
-                left[top] -= 1
-                options = iter(fillings(left, capacity - top, branch))
-                left[top] += 1
-            step = next(options, None)
-            if step is not None:
-                use = np.bincount([top, *step], minlength=capacity + 1)
-                each = np.flatnonzero(use)
-                times = int((left[each] // use[each]).min())
-                each_lost = capacity - top - sum(step)
-                if waste + times * each_lost > allowed:
-                    times = max(0, allowed - waste) // each_lost if each_lost and waste <= allowed else 0
-                lost = times * each_lost
-                if times > 0:
-                    left[each] -= use[each] * times
-                    path.append((top, step, times, options, lost))
-                    waste, options = waste + lost, None
-                continue
-            if not path:
-                break
-            top, step, times, options, lost = path.pop()
-            nodes += 1
-            waste -= lost
-            for x in (top, *step):
-                left[x] += times
+    bound = least_bins(counts, capacity)
+    for few in (branch, None):
+        if len(bins) > bound:
+            bins = search(counts, bins, bound, capacity, node_limit, few)
     where, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
     items = np.argsort(sizes, kind="stable")
     at = np.cumsum(counts) - counts

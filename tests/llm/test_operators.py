@@ -113,6 +113,38 @@ def test_bin_completion():
         assert where.max() + 1 >= packing.least_bins(np.bincount(sizes, minlength=cap + 1), cap)
 
 
+def test_bin_completion_tries_all_undominated_fillings():
+    for sizes, cap in (([50, 45, 33, 25, 22, 15, 10], 100), ([1024, 922, 676, 512, 450, 307, 205], 2048)):
+        where, _ = packing.pack_sizes(np.array(sizes), cap)
+        assert where.max() + 1 == 2
+
+    def least(items, cap):
+        best = len(items)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) < best:
+                if i == len(items):
+                    best = len(rooms)
+                    return
+                for r in set(rooms):
+                    if r >= items[i]:
+                        rest = list(rooms)
+                        rest.remove(r)
+                        place(i + 1, [*rest, r - items[i]])
+                place(i + 1, [*rooms, cap - items[i]])
+
+        place(0, [])
+        return best
+
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        cap = int(rng.integers(10, 60))
+        sizes = rng.integers(max(1, cap // 8), cap // 2 + 2, rng.integers(5, 10))
+        where, offset = packing.pack_sizes(sizes, cap, node_limit=1_000_000)
+        assert where.max() + 1 == least(sorted(sizes.tolist(), reverse=True), cap) and np.bincount(where, weights=sizes).max() <= cap
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------
 
 
