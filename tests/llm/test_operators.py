@@ -411,3 +411,89 @@ def test_urls(spark):
     found = urls.judge_urls(spark.createDataFrame(list(enumerate(u for u, _ in held_out)), "page_id long, url string")).orderBy("page_id").collect()
     assert sum(r["verdict"] == v for r, (_, v) in zip(found, held_out)) >= 3
     assert urls.judge_urls(df.limit(0)).count() == 0
+
+
+# --- pipeline ------------------------------------------------------------------------------------------------------
+
+
+def brute_kept(rows, rules):
+    """Rows that the base rules and the given list pass, from statistics counted by hand."""
+    out = []
+    for r in rows:
+        text = r[1] or ""
+        n, chars, symbols, doubles, repeats, failed = brute_quality(text)
+        n, chars = max(n, 1), max(chars, 1)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        x = np.array([[symbols / chars, doubles / max(lines, 1), repeats / n, chars / n, np.log1p(n), len(re.findall("[A-Z]", text)) / chars]])
+        if not failed and not any(quality.holds(rule, x)[0] for rule in rules):
+            out.append(r)
+    return out
+
+
+def brute_passages(rows, window=13):
+    words, first = {i: (t or "").encode().split() for i, t, *_ in rows}, {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][j : j + window]), i)
+    out = []
+    for i, text, lang, source, n in rows:
+        gone = {k for j in range(len(words[i]) - window + 1) if first[tuple(words[i][j : j + window])] < i for k in range(j, j + window)}
+        if gone:
+            text = b" ".join(w for j, w in enumerate(words[i]) if j not in gone).decode()
+        out.append((i, text, lang, source, len(text)))
+    return out
+
+
+def test_pipeline(spark, rows, tmp_path, monkeypatch):
+    """Every stage of a whole run, from the rows that the stage before wrote."""
+    import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    noisy = [(1000 + i, " ".join(f"n{rng.randrange(10**6)} #$#" for _ in range(rng.randint(20, 60))), "en", "b") for i in range(60)]
+    given = [(i, t, lang, source, len(t or "")) for i, t, lang, source, *_ in [*rows, *noisy]]
+    spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in given], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    written, keep = [], corpus_pipeline.keep
+    monkeypatch.setattr(corpus_pipeline, "keep", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    last = corpus_pipeline.run(spark, str(tmp_path))
+    assert [name for name, _ in written] == [name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES] and last is written[-1][1]
+    good, apart, cut, mixed, packed = ([tuple(r) for r in df.collect()] for _, df in written)
+
+    rules = quality.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert sorted(good) == sorted(brute_kept(given, rules))
+    assert rules and not any(r[0] >= 1000 for r in good) and not any(brute_quality(t)[5] for _, t, *_ in noisy)
+
+    groups = brute_groups(good)
+    assert sorted(apart) == sorted(r for r in good if groups[r[0]][1] == r[0]) and len(apart) < len(good)
+
+    assert sorted(cut) == sorted(brute_passages(apart)) and sorted(cut) != sorted(apart)
+
+    # The mix is random: rows hold words of their document in order, up to three times, and sources meet their targets.
+    before, times, taken, totals = {r[0]: r for r in cut}, collections.Counter(), collections.Counter(), collections.Counter()
+    for i, text, lang, source, n in mixed:
+        words = iter(before[i][1].encode().split())
+        assert all(w in words for w in text.encode().split()) and (lang, source, n) == (*before[i][2:4], len(text))
+        times[i] += 1
+        taken[source] += len(text.encode().split())
+    for r in cut:
+        totals[r[3]] += len(r[1].encode().split())
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    for source, target in zip(order, mixing.targets([totals[s] for s in order]), strict=True):
+        assert abs(taken[source] - target) <= max(0.02 * target, 2 * mixing.BLOCK)
+    assert 1 < max(times.values()) <= 3
+
+    # Documents that the mix repeats are packed as often.
+    encode, want = Tokenizer.from_file(path(packing.TOKENIZER)).encode, collections.Counter()
+    for i, text, *_ in mixed:
+        ids = np.array([*encode(text, add_special_tokens=False).ids, 0], np.uint32)
+        for j in range(0, len(ids), 2048):
+            want[i, j // 2048, j, len(ids[j : j + 2048]), zlib.crc32(ids[j : j + 2048].tobytes())] += 1
+    assert collections.Counter(r[:5] for r in packed) == want
+    sequences = collections.defaultdict(list)
+    for r in packed:
+        sequences[r[5]].append((r[6], r[3]))
+    for s in sequences.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and sum(n for _, n in s) <= 2048
