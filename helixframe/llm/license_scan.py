@@ -1,8 +1,9 @@
 """License scans by diagonal voting.
 
 Native: the rolling k-gram hashes of all words are joined to the template positions; matches vote for the offset
-diagonal (place in the text less place in the template), neighbouring diagonals are merged, and spans whose
-votes cover enough of the template are verified word by word. Only matches are shuffled.
+diagonal (place in the text less place in the template), and neighbouring diagonals are merged. Matched grams are
+compared word by word with the template's; a span counts by the longest chain of them that is in order in the text
+and in the template. Only matches are shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ TEMPLATES = (
 GRAM = 3
 #: Diagonals this near are merged: a few words more or fewer inside the notice.
 NEAR = 2
+#: Part of a long template's size by which diagonals may be apart as well.
+WIDE = 0.25
 #: Part of a template's words that a span must hold in order.
 LEAST_COVER = 0.8
 DELIMITER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -61,7 +64,7 @@ def gram_texts(joined: Column, n_words: Column, k: int = GRAM) -> Column:
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
     """(template, place, hash, size) of the templates, each with at least k words."""
     rows = [(i, at, " ".join(words[at : at + k]), len(words)) for i, (_, text) in enumerate(templates) for words in [text.split()] for at in range(len(words) - k + 1)]
-    return spark.createDataFrame(rows, "template int, place int, gram string, size int").select("template", "place", "size", F.xxhash64("gram").alias("hash"))
+    return spark.createDataFrame(rows, "template int, place int, gram string, size int").select("template", "place", "size", F.col("gram").alias("words"), F.xxhash64("gram").alias("hash"))
 
 
 def base_places(words: Column, phrases=PHRASES) -> Column:
@@ -84,19 +87,39 @@ def base_pattern(phrases=PHRASES) -> str:
     return f" (?:{'|'.join(p for _, p in phrases)}) "
 
 
-def matched_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, near: int = NEAR, least: float = LEAST_COVER) -> DataFrame:
-    """Verified spans of rows (key, joined, n): key, template, first and last word, cover."""
+def chain_cover(hits: Column, k: int = GRAM) -> Column:
+    """Words of the longest chain of matched grams (at, place) that go up in the text and in the template."""
+
+    def longer(chain: Column, hit: Column) -> Column:
+        ways = F.transform(chain, lambda e: F.when((e["at"] < hit["at"]) & (e["place"] < hit["place"]), e["best"] + F.least(F.lit(k), hit["at"] - e["at"], hit["place"] - e["place"])).otherwise(F.lit(k)))
+        return F.concat(chain, F.array(F.struct(hit["at"].alias("at"), hit["place"].alias("place"), F.coalesce(F.array_max(ways), F.lit(k)).alias("best"))))
+
+    chains = F.aggregate(F.array_sort(hits), F.array().cast("array<struct<at:int,place:int,best:int>>"), longer)
+    return F.array_max(F.transform(chains, lambda e: e["best"]))
+
+
+def matched_spans(rows: DataFrame, templates=TEMPLATES, k: int = GRAM, near: int = NEAR, least: float = LEAST_COVER, wide: float = WIDE) -> DataFrame:
+    """Verified spans of rows (key, joined, n): key, template, first and last word, cover.
+
+    Diagonals are merged twice, over gaps of `near` words and of a part of the template; a span may come from both.
+    """
     spark = rows.sparkSession
     grams = template_grams(spark, templates, k)
     lanes = rows.select("key", F.posexplode(gram_texts(F.col("joined"), F.col("n"), k)).alias("lane", "found"))
-    hits = lanes.select("key", "lane", F.posexplode("found").alias("turn", "gram")).select("key", (F.col("turn") * k + F.col("lane")).alias("at"), F.xxhash64("gram").alias("hash")).join(F.broadcast(grams), "hash")
-    votes = hits.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), (F.max("at") + k).alias("end"), F.min("place").alias("low"), F.max("place").alias("high"), F.collect_set("place").alias("places"), F.first("size").alias("size"))
+    hits = lanes.select("key", "lane", F.posexplode("found").alias("turn", "gram")).select("key", (F.col("turn") * k + F.col("lane")).alias("at"), "gram", F.xxhash64("gram").alias("hash")).join(F.broadcast(grams), "hash").where(F.col("gram") == F.col("words"))
+    votes = hits.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.min("at").alias("first"), (F.max("at") + k).alias("end"), F.collect_set("place").alias("places"), F.first("size").alias("size"))
     order = Window.partitionBy("key", "template").orderBy("diagonal")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(order) > near) | F.lag("diagonal").over(order).isNull()
-    merged = votes.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(order)).groupBy("key", "template", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.flatten(F.collect_list("places")).alias("places"), F.first("size").alias("size"))
-    # The words that the matched grams stand for; a span much longer than its template is no copy of it.
-    held = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1)))))
-    return merged.withColumn("cover", held / F.col("size")).where((F.col("cover") >= least) & (F.col("end") - F.col("first") <= F.col("size") + near)).select("key", "template", "first", (F.col("end") - 1).alias("last"), "cover")
+    step = F.col("diagonal") - F.lag("diagonal").over(order)
+    gaps = {"near": F.lit(near), "wide": F.greatest(F.lit(near), F.floor(F.col("size") * wide).cast("int"))}
+    votes = votes.withColumns({name: F.sum(F.when(F.coalesce(step > gap, F.lit(True)), 1).otherwise(0)).over(order) for name, gap in gaps.items()})
+    matches = F.transform("places", lambda p: F.struct((F.col("diagonal") + p).alias("at"), p.alias("place")))
+    votes = votes.select("key", "template", "first", "end", "size", matches.alias("hits"), F.inline(F.array(*(F.struct(gap.alias("gap"), F.lit(name).alias("kind"), F.col(name).alias("run")) for name, gap in gaps.items()))))
+    merged = votes.groupBy("key", "template", "kind", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"), F.flatten(F.collect_list("hits")).alias("hits"), F.first("size").alias("size"), F.first("gap").alias("gap"))
+    # The words that the matched grams stand for, in any order, are a bound; a span much longer than its template is no copy of it.
+    held = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["place"], h["place"] + k - 1)))))
+    short = F.col("end") - F.col("first") <= F.col("size") + F.col("gap")
+    cover = F.when(short, F.when(held >= least * F.col("size"), chain_cover(F.col("hits"), k) / F.col("size")))
+    return merged.withColumn("cover", cover).where(F.col("cover") >= least).select("key", "template", "first", (F.col("end") - 1).alias("last"), "cover")
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, k: int = GRAM, least: float = LEAST_COVER) -> DataFrame:

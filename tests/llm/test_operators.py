@@ -250,6 +250,16 @@ def test_license_scan(spark, docs, rows):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_scan_words_put_in(spark):
+    notice = "permission is hereby granted free of charge {}to any person obtaining a copy of this software and associated documentation files"
+    texts = [notice.format(""), notice.format("and without any fee "), notice.format("and without any fee of whatever kind it may be "), "x " * 50 + notice.format("and with no fee ") + " y" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert by_id(license_scan.scan_licenses(df), "labels", "score") == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("", 0.0), 3: ("mit", 1.0)}
+    # Grams in another order than the template's don't add up.
+    hits = spark.sql("SELECT array(struct(0 AS at, 3 AS place), struct(4 AS at, 0 AS place), struct(5 AS at, 1 AS place)) AS hits")
+    assert hits.select(license_scan.chain_cover(F.col("hits"))).first()[0] == 4
+
+
 # --- 6 -------------------------------------------------------------------------------------------------------------
 
 
