@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .words import U64, mix
 
@@ -80,6 +81,35 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
 
 
+#: Bits of an id filter for each id, and most bits, which the driver and every task hold (4 MB). Beyond it more ids pass than asked for.
+FILTER_EACH, FILTER_MOST = 16, 1 << 25
+
+
+def passes(there: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an id filter's bit is set for each id: for every id it was made of, and for a few others."""
+    at = mix(ids.astype(np.int64).view(U64)) & U64(64 * len(there) - 1)
+    return (there[at >> U64(6)] >> (at & U64(63))) & U64(1) > 0
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit field of a bounded size, at most FILTER_MOST bits, that passes() asks. It spares rows an exchange; the join that follows decides."""
+    number = ids.count()
+    bits = max(64, min(FILTER_MOST, 1 << (FILTER_EACH * number - 1).bit_length() if number else 64))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(bits // 64, U64)
+        for batch in batches:
+            at = mix(np.asarray(batch.column(0)).astype(np.int64).view(U64)) & U64(bits - 1)
+            np.bitwise_or.at(there, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
+        words = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(there[words].view(np.int64))], ["word", "bits"])
+
+    marks = ids.select(column).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, U64)
+    out[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(U64)
+    return out
+
+
 def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(run number, id) of the keys that two or more ids hold, every id once a run and in ascending order."""
     order = np.argsort(keys, kind="stable")

@@ -6,13 +6,18 @@ segments allowances that sum to H + 1, then in some segment the two differ by le
 asks for an equal subset there, 2 for one that is equal or differs by one element. Smaller sets index their
 subsets (and, in some segments, their one-deletion neighbourhoods); larger ones probe where that is cheapest.
 
-Plan: (1) one pass gives every document's set size, 128-bit set hash and a 64-cell count sketch; equal sets form
-classes, so copies aren't compared. (2) A second pass sends signatures in packed blocks (about 0.7 a shingle, 8
-bytes each); small buckets give all their pairs, larger ones first only, for each document, the pair with the
-smallest document it shares one with. (3) The sketches give an exact bound that drops most false candidates, the
-others are verified on their whole sets. (4) Components are found; a larger bucket whose documents are all linked by
-then needs no more pairs, of the others all pairs between components go through (3) too, made in blocks of bounded
-size. No link between different sets is lost, and a group of near copies doesn't bring the square of its size.
+Plan: (1) one pass gives every document's set size, set hash and a parity sketch. Equal sets are one node, named by
+the set's hash, so copies meet as one wherever they stand. (2) A second pass sends the nodes' signatures in packed
+blocks (about 0.7 a shingle, 8 bytes each); small buckets give all their pairs, larger ones first only, for each
+node, the pair with the smallest node it shares one with. (3) The sketches give an exact bound that drops nearly all
+false candidates; the sets of the others are made from their texts, dealt into groups around one node, each set once
+a group, and compared whole. (4) Components are found; a larger bucket whose nodes are all linked by then needs no
+more pairs, of the others all pairs between components go through (3) too, made in blocks of bounded size. No link
+between different sets is lost, and a group of near copies doesn't bring the square of its size.
+
+Shingles and sets are told apart by 64-bit hashes. Two different sets share a node's name with a chance of n * n /
+2^65 for n sets; one wrong shingle match moves an intersection by one, and needs two equal hashes within one pair
+(about 1e-13 for two sets of a thousand).
 """
 
 from __future__ import annotations
@@ -27,9 +32,9 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .components import components
-from .exchange import Packer, distinct_pairs, pack_pairs, parts_for, unpack
+from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, unpack
 from .storage import keep, release
-from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, split_words
+from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, spans, split_words
 
 SHINGLE = 5
 #: Least similarity in percent.
@@ -42,15 +47,18 @@ SMALL, DELETION_SHARE = 64, 0.04
 COLLISION_COST = 8.0
 #: Keys over which a band's documents are spread for the rare document whose segments can't give H + 1.
 SPREAD = 64
-#: Documents in a bucket up to which all its pairs are compared at once.
+#: Nodes in a bucket up to which all its pairs are compared at once.
 BUCKET = 4
-#: Documents in a block of a larger bucket, of which pairs between components are made.
+#: Nodes in a block of a larger bucket, of which pairs between components are made.
 BLOCK = 1000
-#: Groups in which the blocks' pairs are merged.
-MERGES = 256
-CELLS = 64
+#: Another round of stars follows one that found at least this part of all nodes as links.
+STAR_SHARE = 0.01
+#: Elements of the sets that one group compares with its hub, on average.
+GROUP_ELEMENTS = 500_000
+#: Bits of a parity sketch: least, for each element, and most. Beyond it the sketch only lets more pairs through.
+SKETCH_LEAST, SKETCH_EACH, SKETCH_MOST = 64, 2, 1 << 17
 INDEX, PROBE = 1, 2
-FACTS = "doc_id long, n_shingles long, h1 long, h2 long, cells binary"
+FACTS = "doc_id long, n_shingles long, node long, sketch binary"
 
 
 def bands(largest: int, percent: int = PERCENT) -> np.ndarray:
@@ -94,22 +102,72 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def sketches(hashes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each set the parity of its elements, by their hashes' low bits. Two sketches differ in at most as many bits as the sets in elements; halves laid over each other give the sketch of half the bits."""
+    sizes = np.diff(ends)
+    bits = np.minimum(SKETCH_MOST, 1 << np.ceil(np.log2(np.maximum(SKETCH_EACH * sizes, SKETCH_LEAST))).astype(np.int64))
+    out = [b""] * len(sizes)
+    for m in np.unique(bits).tolist():
+        rows = np.flatnonzero(bits == m)
+        step = max(1, (1 << 23) // m)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            place = np.repeat(np.arange(len(some)), sizes[some]) * m + (hashes[spans(ends[some], sizes[some])] & U64(m - 1)).astype(np.int64)
+            odd = np.packbits((np.bincount(place, minlength=len(some) * m) & 1).astype(np.uint8).reshape(len(some), m), axis=1, bitorder="little")
+            for row, sketch in zip(some.tolist(), odd, strict=True):
+                out[row] = sketch.tobytes()
+    return out
+
+
+def halved(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) brought to `width` words."""
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def by_width(column: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their sketches as a matrix) for every width."""
+    lengths = np.fromiter(map(len, column), np.int64, len(column))
+    return [(rows, np.frombuffer(b"".join(column[i] for i in rows.tolist()), U64).reshape(len(rows), -1)) for n in np.unique(lengths).tolist() for rows in [np.flatnonzero(lengths == n)]]
+
+
+def near_enough(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
+    """Row by row, whether two sketches differ in no more than `most` bits."""
+    out = np.zeros(len(x), bool)
+    place = np.empty(len(x), np.int64)
+    widths = by_width(y)
+    which = np.empty(len(x), np.int64)
+    for w, (rows, _) in enumerate(widths):
+        place[rows], which[rows] = np.arange(len(rows)), w
+    for rows, a in by_width(x):
+        for w, (_, b) in enumerate(widths):
+            mine = np.flatnonzero(which[rows] == w)
+            if len(mine):
+                width = min(a.shape[1], b.shape[1])
+                differ = halved(a[mine], width) ^ halved(b[place[rows[mine]]], width)
+                out[rows[mine]] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most[rows[mine]]
+    return out
+
+
 def facts(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, cells) of every row; cells: elements by their hash's low bits, at most 255 each."""
+    """(doc_id, n_shingles, node, sketch) of every row; node: the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 values, ends = shingle_sets(array_of(part.column("text")), k)
-                sizes = np.diff(ends)
-                h1, h2 = sums(mix(values), ends), sums(mix(values ^ U64(0x5851F42D4C957F2D)), ends)
-                cell = np.repeat(np.arange(len(sizes)), sizes) * CELLS + (values & U64(CELLS - 1)).astype(np.int64)
-                cells = np.minimum(np.bincount(cell, minlength=len(sizes) * CELLS), 255).astype(np.uint8).reshape(-1, CELLS)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([c.tobytes() for c in cells], pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "cells"])
+                mixed = mix(values)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), pa.array(nodes(mixed, ends)), pa.array(sketches(mixed, ends), pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FACTS)
 
 
+def nodes(mixed: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every set, of its mixed elements."""
+    return mix(sums(mixed, ends) ^ mix(np.diff(ends).astype(U64))).view(np.int64)
+
+
 class Segmentation:
     """Runs of one segment each, of sets that are cut into `number` segments: hashes in order stand by segment already."""
 
@@ -252,14 +310,12 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
         packer, seen = Packer(parts), set()
         for batch in batches:
             for part in chunks(batch):
-                ids = np.asarray(part.column("doc_id"))
                 values, ends = shingle_sets(array_of(part.column("text")), k)
-                sizes = np.diff(ends)
-                marks = zip(sums(mix(values), ends).tolist(), sizes.tolist(), strict=True)
+                sizes, ids = np.diff(ends), nodes(mix(values), ends)
                 take = np.zeros(len(ids), bool)
-                for row, mark in enumerate(marks):  # of equal sets in a task one speaks for all
-                    if mark[1] and mark not in seen:
-                        seen.add(mark)
+                for row, (node, n) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):  # equal sets of a task are sent once
+                    if n and node not in seen:
+                        seen.add(node)
                         take[row] = True
                 ids, values, sizes = ids[take], values[np.repeat(take, sizes)], sizes[take]
                 for rows in signatures(ids, values, np.concatenate([[0], np.cumsum(sizes)]), percent):
@@ -274,101 +330,114 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
         out = {c: pa.chunked_array([*packed.column(c).chunks, pa.nulls(m, packed.schema.field(c).type)]) for c in packed.schema.names}
         return pa.table(out | {c: pa.chunked_array([pa.nulls(n, t), x]) for c, (x, t) in columns.items()})
 
-    packed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(emit, exchange.SCHEMA)
+    packed = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(emit, exchange.SCHEMA)
     return packed.groupBy("part").applyInArrow(find, f"{exchange.PAIRS}, key long, id long, tag int")
 
 
-def plausible(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of different sets whose sketches and sizes don't rule the similarity out."""
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n): the pairs whose sizes and sketches don't rule the similarity out; n is the size of b's set."""
 
     def side(name: str) -> DataFrame:
-        return rows.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("h1").alias(f"h1_{name}"), F.col("h2").alias(f"h2_{name}"), F.col("cells").alias(f"cells_{name}"))
+        return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("cells_a", "cells_b"))
             total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
-            shared = (total - np.abs(x - y).sum(axis=1)) // 2
-            good = pa.array(shared * (100 + percent) >= percent * total)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+            good = pa.array(near_enough(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), differ_most(total, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b", "n_b")], ["a", "b", "n"])
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = joined.where("(h1_a <> h1_b OR h2_a <> h2_b) AND n_a > 0 AND n_b > 0").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}")
-    return alike.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}")
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n long").distinct()
 
 
-def crossing_stars(placed: DataFrame) -> DataFrame:
-    """(a, b): each bucket's smallest document with those of other components."""
-    least = placed.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("x"))
-    joined = placed.join(least, "bucket").where("component <> x.component")
+def crossing_stars(placed: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a hub of each bucket, the node that comes first in this turn's order, with the bucket's nodes of other components."""
+    hub = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("x"))
+    joined = placed.join(hub, "bucket").where("component <> x.component")
     return joined.select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def crossing_pairs(placed: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of one bucket's documents in different components that sketches and sizes don't rule out.
+def crossing_pairs(placed: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n): pairs of one bucket's nodes in different components that sizes and sketches don't rule out.
 
     placed: (bucket, node, tag, component, members). A bucket is cut into blocks; each two blocks meet in a group of
-    their own, so that no task holds more than two blocks of a bucket. Buckets repeat each other's pairs, so these are
-    merged as arrays before they become rows.
+    their own, so that no task holds more than two blocks of a bucket.
     """
-    known = rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "cells")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    sided = placed.join(known, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    sided = placed.join(classes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    sided = sided.select("bucket", "node", "tag", "component", "n", "cells", "block", other.alias("other"))
-    sided = sided.select("bucket", "node", "tag", "component", "n", "cells", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    sided = sided.select("bucket", "node", "tag", "component", "n", "sketch", "block", other.alias("other"))
+    sided = sided.select("bucket", "node", "tag", "component", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def meet(table: pa.Table) -> pa.Table:
         node, component, n, tag, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "tag", "block"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        low = table.column("low")[0].as_py()
-        left, right = np.flatnonzero(block == low), np.flatnonzero(block == table.column("high")[0].as_py())
-        found = []
-        for i in left.tolist():
-            at = right[(component[right] != component[i]) & (node[right] != node[i])]
-            total = n[at] + n[i]
-            good = (np.minimum(n[at], n[i]) * 100 >= percent * np.maximum(n[at], n[i])) & (((tag[at] & PROBE > 0) & (tag[i] & INDEX > 0)) | ((tag[at] & INDEX > 0) & (tag[i] & PROBE > 0)))
-            at, total = at[good], total[good]
-            shared = (total - np.abs(cells[at] - cells[i]).sum(axis=1)) // 2
-            at = at[shared * (100 + percent) >= percent * total]
-            found.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
-        both = distinct(np.concatenate(found, axis=1)) if found else np.empty((2, 0), np.int64)
-        return pack_pairs(both, MERGES)
-
-    return distinct_pairs(sided.groupBy("bucket", "low", "high").applyInArrow(meet, exchange.PAIRS), "a", "b")
-
-
-def whole_sets(docs: DataFrame, ids: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, elements): the shingle sets of documents that have a candidate, for all rounds; only their texts are exchanged once."""
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        sketch = table.column("sketch").to_pylist()
+        left, right = by_width([x if b == low else b"" for x, b in zip(sketch, block.tolist(), strict=True)]), by_width([x if b == high else b"" for x, b in zip(sketch, block.tolist(), strict=True)])
+        found = [np.empty((2, 0), np.int64)]
+        for rows, x in left:
+            for others, y in right:
+                width = min(x.shape[1], y.shape[1])
+                if not width:
+                    continue  # rows of the other block
+                a, b = halved(x, width), halved(y, width)
+                for at, i in enumerate(rows.tolist()):
+                    good = (component[others] != component[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))
+                    good &= ((tag[others] & PROBE > 0) & (tag[i] & INDEX > 0)) | ((tag[others] & INDEX > 0) & (tag[i] & PROBE > 0))
+                    some = np.flatnonzero(good)
+                    some = some[np.bitwise_count(b[some] ^ a[at]).sum(axis=1, dtype=np.int64) <= differ_most(n[others[some]] + n[i], percent)]
+                    with_it = others[some]
+                    first = np.where(node[with_it] < node[i], with_it, i)
+                    found.append(np.stack([first, np.where(first == i, with_it, i)]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": node[a], "b": node[b], "n": n[b]})
+
+    return sided.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long, n long").distinct()
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(node, elements): the shingle sets of the documents with the wanted ids, and of a few others; texts aren't exchanged."""
+    there = id_filter(wanted, "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
+            batch = batch.filter(pa.array(passes(there, np.asarray(batch.column("doc_id")))))
             for part in chunks(batch):
                 values, ends = shingle_sets(array_of(part.column("text")), k)
-                raw = memoryview(values).cast("B")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([bytes(raw[8 * a : 8 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "elements"])
+                names, raw = nodes(mix(values), ends), memoryview(values).cast("B")
+                new = {x: i for i, x in enumerate(names.tolist()) if x not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([bytes(raw[8 * ends[i] : 8 * ends[i + 1]]) for i in new.values()], pa.binary())], ["node", "elements"])
 
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(ids, "doc_id").mapInArrow(sets, "doc_id long, elements binary")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "node long, elements binary")
+    return texts.groupBy("node").agg(F.first("elements").alias("elements"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(u, v): the pairs whose whole sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(u, v): the pairs (a, b, n) whose whole sets are similar enough.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(shared > 0 and 100 * shared >= percent * (len(both) - shared))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["u", "v"])
+    Pairs of one a are dealt into groups of about GROUP_ELEMENTS elements; a group gets the set of a and those of its b once.
+    """
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
+    def check(table: pa.Table) -> pa.Table:
+        hub, node = table.column("a")[0].as_py(), table.column("node").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("elements")]
+        own = next((sets[i] for i in np.flatnonzero(node == hub).tolist()), None)
+        out = []
+        for i in np.flatnonzero(node != hub).tolist() if own is not None else ():
+            both = np.concatenate([own, sets[i]])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared and 100 * shared >= percent * (len(both) - shared):
+                out.append(int(node[i]))
+        return pa.table({"u": pa.array([hub] * len(out), pa.int64()), "v": pa.array(out, pa.int64())})
+
+    groups = F.ceil(F.col("elements") / GROUP_ELEMENTS)
+    dealt = keep(pairs.join(pairs.groupBy("a").agg(F.sum("n").alias("elements")), "a").select("a", F.pmod(F.xxhash64("b"), groups).alias("turn"), "b"), "dealt")
+    seats = dealt.select("a", "turn", F.col("b").alias("node")).unionByName(dealt.select("a", "turn", F.col("a").alias("node")).distinct())
+    wanted = seats.select("node").distinct().join(classes.select("node", "doc"), "node")
+    return seats.join(whole_sets(docs, wanted, k), "node").groupBy("a", "turn").applyInArrow(check, "u long, v long")
 
 
 def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -376,40 +445,49 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
 
     A text without words has an empty set and no links. Rows that share an id are one document whose links are those
     of any of its texts; a row without an id takes no part and has no component. An empty table gives no rows.
-    Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    release(spark)
     rows = keep(facts(docs, k), "facts")
     used = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = keep(used.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shingles = used.agg(F.sum("n_shingles")).first()[0] or 0
     found = keep(candidates(docs, shingles, k, percent), "candidates")
     release(spark)
-    classes = used.groupBy("h1", "h2").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    copies = used.select("h1", "h2", F.col("doc_id").alias("u")).join(classes, ["h1", "h2"]).where("u <> v").select("u", "v")
-    first = keep(distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct(), "pairs")
-    pairs = keep(plausible(first, used, percent), "plausible")
+    several = used.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("x")).where("v < x")
+    links = used.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    first = distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct()
+    tried = keep(plausible(first, classes, percent), "plausible")
     members = found.where("key IS NOT NULL").select(F.col("key").alias("bucket"), F.col("id").alias("node"), "tag")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(members.select(F.col("node").alias("doc_id"))).distinct()
-    sets = keep(whole_sets(docs, wanted, k), "sets")
-    release(spark)
-    groups = components(keep(copies.unionByName(verified(pairs, sets, percent)), "links"))
+    groups = components(keep(links.unionByName(verified(tried, docs, classes, k, percent)), "links"))
+    tried = tried.select("a", "b")
     release(spark)
-    tried = pairs
-    if not members.isEmpty():
-        # Larger buckets: first their smallest documents, then all documents, with those that are in other components by now.
-        for make in (lambda placed: plausible(crossing_stars(placed), used, percent), lambda placed: crossing_pairs(placed, used, percent)):
-            placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
-            placed = keep(placed.join(mixed, "bucket"), "mixed")
-            more = keep(make(placed).join(tried, ["a", "b"], "left_anti"), "crossing")
-            links = keep(verified(more, sets, percent), "links")
-            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-            tried = tried.unionByName(more)
-            release(spark)
-    return rows.join(groups, rows["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # Larger buckets: first stars, as long as they link many nodes, then all pairs between components.
+    turn, number = 0 if not members.isEmpty() else None, classes.count()
+    while turn is not None:
+        placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
+        placed = keep(placed.join(mixed, "bucket"), "mixed")
+        if turn >= 0:
+            more = plausible(crossing_stars(placed, turn).join(tried, ["a", "b"], "left_anti"), classes, percent)
+        else:
+            more = crossing_pairs(placed, classes, percent).join(tried, ["a", "b"], "left_anti")
+        more = keep(more, "crossing")
+        links = keep(verified(more, docs, classes, k, percent), "links")
+        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        tried = tried.unionByName(more.select("a", "b"))
+        turn = None if turn < 0 else turn + 1 if links.count() >= STAR_SHARE * number else -1
+        del placed, mixed, more, links
+        release(spark)
+    # A component's id is its smallest document's; only documents that have a smaller one are named.
+    rooted = classes.select("node", "doc").join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("doc").alias("component")), "root").select("node", "component")
+    later = used.select("doc_id", "node").join(named, "node").where("component < doc_id").select(F.col("doc_id").alias("id"), "component").distinct()
+    return rows.join(later, rows["doc_id"] == later["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Documents less those linked, also over others, with one of a smaller id. Rows without an id, and rows that share the id that stays, all stay."""
     later = keep(near_groups(docs, k, percent).where("component_id < doc_id").select("doc_id").distinct(), "later")
+    release(docs.sparkSession)
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
