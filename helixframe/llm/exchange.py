@@ -126,19 +126,18 @@ def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return run[once], ids[once]
 
 
-PAIRS = "bucket int, least boolean, pairs binary"
+PAIRS = "bucket int, pairs binary"
 
 
-def pack_pairs(pairs: np.ndarray, buckets: int, least: bool = False) -> pa.Table:
-    """Pairs (2, n) as one row for each bucket of their hashes; least: of their second ids' hashes, and distinct_pairs() keeps the smallest first id of each."""
+def pack_pairs(pairs: np.ndarray, buckets: int) -> pa.Table:
+    """Pairs (2, n) as one row for each bucket of their hashes."""
     pairs = pairs.astype(np.int64)
-    first = U64(0) if least else pairs[0].view(U64) * U64(3)
-    bucket = (mix(first + mix(pairs[1].view(U64))) % U64(buckets)).astype(np.int64)
+    bucket = (mix(pairs[0].view(U64) * U64(3) + mix(pairs[1].view(U64))) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
     both = np.ascontiguousarray(pairs[:, order].T)
     rows = [(b, both[start:end].tobytes()) for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if end > start]
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "least": pa.array([least] * len(rows), pa.bool_()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def distinct_pairs(packed: DataFrame, first: str, second: str) -> DataFrame:
@@ -148,7 +147,7 @@ def distinct_pairs(packed: DataFrame, first: str, second: str) -> DataFrame:
         both = np.concatenate([np.frombuffer(p.as_buffer(), np.int64).reshape(-1, 2) for p in table.column("pairs")])
         both = both[np.lexsort((both[:, 0], both[:, 1]))]
         new = np.ones(len(both), bool)
-        new[1:] = both[1:, 1] != both[:-1, 1] if table.column("least")[0].as_py() else (both[1:] != both[:-1]).any(axis=1)
+        new[1:] = (both[1:] != both[:-1]).any(axis=1)
         return pa.table({first: pa.array(both[new, 0]), second: pa.array(both[new, 1])})
 
-    return packed.groupBy("bucket", "least").applyInArrow(merge, f"{first} long, {second} long")
+    return packed.groupBy("bucket").applyInArrow(merge, f"{first} long, {second} long")

@@ -8,12 +8,12 @@ subsets (and, in some segments, their one-deletion neighbourhoods); larger ones
 
 Plan: (1) one pass gives every document's set size, set hash and a parity sketch. Equal sets are one node, named by
 the set's hash, so copies meet as one wherever they stand. (2) A second pass sends the nodes' signatures in packed
-blocks (about 0.7 a shingle, 8 bytes each); small buckets give all their pairs, larger ones first only, for each
-node, the pair with the smallest node it shares one with. (3) The sketches give an exact bound that drops nearly all
-false candidates; the sets of the others are made from their texts, dealt into groups around one node, each set once
-a group, and compared whole. (4) Components are found; a larger bucket whose nodes are all linked by then needs no
-more pairs, of the others all pairs between components go through (3) too, made in blocks of bounded size. No link
-between different sets is lost, and a group of near copies doesn't bring the square of its size.
+blocks (about 0.7 a shingle, 8 bytes each); small buckets give all their pairs. (3) The sketches give an exact bound
+that drops nearly all false candidates; the sets of the others are made from their texts, dealt into groups around
+one node, each set once a group, and compared whole. (4) Components are found. Larger buckets meet in blocks of
+bounded size: each node first gives only its nearest plausible partner in another component, as long as that links
+many, then all plausible pairs between components are left to compare. No link between different sets is lost, and a
+group of near copies doesn't bring the square of its size.
 
 Shingles and sets are told apart by 64-bit hashes. Two different sets share a node's name with a chance of n * n /
 2^65 for n sets; one wrong shingle match moves an intersection by one, and needs two equal hashes within one pair
@@ -51,8 +51,10 @@ SPREAD = 64
 BUCKET = 4
 #: Nodes in a block of a larger bucket, of which pairs between components are made.
 BLOCK = 1000
-#: Another round of stars follows one that found at least this part of all nodes as links.
-STAR_SHARE = 0.01
+#: Another round of nearest partners follows one that found links for at least this part of all nodes.
+NEAREST_SHARE = 0.01
+#: Members of larger buckets in a group that compares their sketches.
+GROUP_MEMBERS = 20_000
 #: Elements of the sets that one group compares with its hub, on average.
 GROUP_ELEMENTS = 500_000
 #: Bits of a parity sketch: least, for each element, and most. Beyond it the sketch only lets more pairs through.
@@ -258,16 +260,21 @@ def signatures(ids: np.ndarray, values: np.ndarray, offsets: np.ndarray, percent
         yield from probes(cut, differ_most(low[own[below]] - 1 + sizes[below], percent) + 1, band, ids[below], False)
 
 
-def distinct(pairs: np.ndarray, least: bool = False) -> np.ndarray:
-    """Distinct columns of (2, n) pairs, or for each second id the one with the smallest first."""
+def distinct(pairs: np.ndarray) -> np.ndarray:
+    """Distinct columns of (2, n) pairs."""
     pairs = pairs[:, np.lexsort((pairs[0], pairs[1]))]
     once = np.ones(pairs.shape[1], bool)
-    once[1:] = pairs[1, 1:] != pairs[1, :-1] if least else (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
+    once[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
     return pairs[:, once]
 
 
-def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one part: all pairs (2, n) of small buckets, each document's pair with the smallest one of its large buckets, and these buckets' members (key, id) and tags."""
+def may_meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether of two tags one asks where the other is to be found."""
+    return ((x & PROBE > 0) & (y & INDEX > 0)) | ((x & INDEX > 0) & (y & PROBE > 0))
+
+
+def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one part: all pairs (2, n) of small buckets, and the larger buckets' members (key, id) and tags."""
     order = np.lexsort((ids, keys))
     keys, ids, tags = keys[order], ids[order], tags[order]
     new = np.ones(len(keys), bool)
@@ -277,33 +284,26 @@ def bucket_pairs(keys: np.ndarray, ids: np.ndarray, tags: np.ndarray) -> tuple[n
     keys, ids = keys[first], ids[first]
     begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
     size = np.diff(np.append(begin, len(keys)))
-    pairs: list[np.ndarray] = []
+    pairs: list[np.ndarray] = [np.empty((2, 0), np.int64)]
     for n in np.unique(size[(size > 1) & (size <= BUCKET)]).tolist():
         at = begin[size == n]
         for i in range(n):
             for j in range(i + 1, n):
-                a, b = at + i, at + j
-                meet = ((tags[a] & PROBE > 0) & (tags[b] & INDEX > 0)) | ((tags[a] & INDEX > 0) & (tags[b] & PROBE > 0))
-                pairs.append(np.stack([ids[a[meet]], ids[b[meet]]]))
-    large = np.flatnonzero(size > BUCKET)
-    if len(large):
+                meet = may_meet(tags[at + i], tags[at + j])
+                pairs.append(np.stack([ids[at[meet] + i], ids[at[meet] + j]]))
+    held = np.repeat(size > BUCKET, size)
+    if held.any():
         # A bucket nobody probes has no pairs.
         run = np.repeat(np.arange(len(begin)), size)
         probed, found = np.zeros(len(begin), bool), np.zeros(len(begin), bool)
         np.logical_or.at(probed, run, tags & PROBE > 0)
         np.logical_or.at(found, run, tags & INDEX > 0)
-        held = np.isin(run, large) & (probed & found)[run]
-        rest = held.copy()
-        rest[begin] = False
-        stars = distinct(np.stack([ids[begin[run[rest]]], ids[rest]]), least=True)
-        members, member_tags = np.stack([keys[held].view(np.int64), ids[held]]), tags[held]
-    else:
-        stars, members, member_tags = np.empty((2, 0), np.int64), np.empty((2, 0), np.int64), np.empty(0, np.int8)
-    return distinct(np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)), stars, members, member_tags
+        held &= (probed & found)[run]
+    return distinct(np.concatenate(pairs, axis=1)), np.stack([keys[held].view(np.int64), ids[held]]), tags[held]
 
 
 def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(bucket, least, pairs, key, id, tag): rows of packed pairs to compare, and large buckets' members, whose key isn't null."""
+    """(bucket, pairs, key, id, tag): rows of packed pairs to compare, and larger buckets' members, whose key isn't null."""
     parts = parts_for(shingles * 7 // 10)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,8 +323,8 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
         yield packer.flush()
 
     def find(table: pa.Table) -> pa.Table:
-        pairs, stars, members, tags = bucket_pairs(*unpack(table))
-        packed = pa.concat_tables([pack_pairs(pairs, parts), pack_pairs(stars, parts, least=True)])
+        pairs, members, tags = bucket_pairs(*unpack(table))
+        packed = pack_pairs(pairs, parts)
         n, m = packed.num_rows, members.shape[1]
         columns = {"key": (pa.array(members[0]), pa.int64()), "id": (pa.array(members[1]), pa.int64()), "tag": (pa.array(tags, pa.int32()), pa.int32())}
         out = {c: pa.chunked_array([*packed.column(c).chunks, pa.nulls(m, packed.schema.field(c).type)]) for c in packed.schema.names}
@@ -350,49 +350,65 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, n long").distinct()
 
 
-def crossing_stars(placed: DataFrame, turn: int) -> DataFrame:
-    """(a, b): a hub of each bucket, the node that comes first in this turn's order, with the bucket's nodes of other components."""
-    hub = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("x"))
-    joined = placed.join(hub, "bucket").where("component <> x.component")
-    return joined.select(F.col("x.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def crossing_pairs(placed: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, n): pairs of one bucket's nodes in different components that sizes and sketches don't rule out.
+def crossing_pairs(placed: DataFrame, classes: DataFrame, nearest: bool, percent: int = PERCENT) -> DataFrame:
+    """(a, b, n): pairs of one bucket's nodes in different components that sizes and sketches don't rule out; nearest: of these only each node's pair with the nearest sketch.
 
     placed: (bucket, node, tag, component, members). A bucket is cut into blocks; each two blocks meet in a group of
-    their own, so that no task holds more than two blocks of a bucket.
+    their own, so that no task holds more than two blocks of a bucket. Buckets of one block share groups.
     """
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    groups = max(1, placed.count() // GROUP_MEMBERS)
     sided = placed.join(classes.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    sided = sided.select("bucket", "node", "tag", "component", "n", "sketch", "block", other.alias("other"))
-    sided = sided.select("bucket", "node", "tag", "component", "n", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    kept = ["bucket", "node", "tag", "component", "n", "sketch", "block"]
+    sided = sided.select(*kept, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), (blocks == 1).alias("alone"))
+    sided = sided.select(*kept, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "alone")
+    group = F.when(F.col("alone"), F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.xxhash64("bucket", "low", "high"))
 
     def meet(table: pa.Table) -> pa.Table:
-        node, component, n, tag, block = (table.column(c).to_numpy() for c in ("node", "component", "n", "tag", "block"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        sketch = table.column("sketch").to_pylist()
-        left, right = by_width([x if b == low else b"" for x, b in zip(sketch, block.tolist(), strict=True)]), by_width([x if b == high else b"" for x, b in zip(sketch, block.tolist(), strict=True)])
-        found = [np.empty((2, 0), np.int64)]
-        for rows, x in left:
-            for others, y in right:
-                width = min(x.shape[1], y.shape[1])
-                if not width:
-                    continue  # rows of the other block
-                a, b = halved(x, width), halved(y, width)
-                for at, i in enumerate(rows.tolist()):
-                    good = (component[others] != component[i]) & (np.minimum(n[others], n[i]) * 100 >= percent * np.maximum(n[others], n[i]))
-                    good &= ((tag[others] & PROBE > 0) & (tag[i] & INDEX > 0)) | ((tag[others] & INDEX > 0) & (tag[i] & PROBE > 0))
-                    some = np.flatnonzero(good)
-                    some = some[np.bitwise_count(b[some] ^ a[at]).sum(axis=1, dtype=np.int64) <= differ_most(n[others[some]] + n[i], percent)]
-                    with_it = others[some]
-                    first = np.where(node[with_it] < node[i], with_it, i)
-                    found.append(np.stack([first, np.where(first == i, with_it, i)]))
-        a, b = np.concatenate(found, axis=1)
+        bucket, node, component, n, tag, block, low, high = (table.column(c).to_numpy() for c in ("bucket", "node", "component", "n", "tag", "block", "low", "high"))
+        widths = by_width(table.column("sketch").to_pylist())
+        which, place = np.empty(len(node), np.int64), np.empty(len(node), np.int64)
+        for w, (rows, _) in enumerate(widths):
+            which[rows], place[rows] = w, np.arange(len(rows))
+        order = np.lexsort((node, high, low, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(bucket[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+        out = []
+        for rows in np.split(order, np.flatnonzero(new)[1:]):
+            if (component[rows] == component[rows[0]]).all():
+                continue
+            left, right = rows[block[rows] == low[rows]], rows[block[rows] == high[rows]]
+            found = []
+            for v in np.unique(which[left]).tolist():
+                for w in np.unique(which[right]).tolist():
+                    x, y = left[which[left] == v], right[which[right] == w]
+                    width = min(widths[v][1].shape[1], widths[w][1].shape[1])
+                    a, b = halved(widths[v][1][place[x]], width), halved(widths[w][1][place[y]], width)
+                    step = max(1, (1 << 20) // b.size)
+                    for at in range(0, len(x), step):
+                        some = x[at : at + step, None]
+                        good = (component[some] != component[y]) & may_meet(tag[some], tag[y]) & (np.minimum(n[some], n[y]) * 100 >= percent * np.maximum(n[some], n[y]))
+                        if low[rows[0]] == high[rows[0]]:
+                            good &= node[some] < node[y]
+                        if good.any():
+                            differ, total = np.bitwise_count(a[at : at + step, None] ^ b).sum(axis=2, dtype=np.int64), n[some] + n[y]
+                            i, j = np.nonzero(good & (differ <= differ_most(total, percent)))
+                            found.append(np.stack([some[i, 0], y[j], differ[i, j] * 1_000_000 // total[i, j]]))
+            if not found:
+                continue
+            pairs = np.concatenate(found, axis=1)
+            if nearest:
+                row, pair = np.concatenate([pairs[0], pairs[1]]), np.tile(np.arange(pairs.shape[1]), 2)
+                by = np.lexsort((pair, pairs[2][pair], row))
+                once = np.ones(len(by), bool)
+                once[1:] = row[by][1:] != row[by][:-1]
+                pairs = pairs[:, np.unique(pair[by[once]])]
+            out.append(pairs[:2])
+        i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        a, b = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
         return pa.table({"a": node[a], "b": node[b], "n": n[b]})
 
-    return sided.groupBy("bucket", "low", "high").applyInArrow(meet, "a long, b long, n long").distinct()
+    return sided.withColumn("group", group).drop("alone").groupBy("group").applyInArrow(meet, "a long, b long, n long").distinct()
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -452,32 +468,29 @@ def near_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     used = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = keep(used.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     shingles = used.agg(F.sum("n_shingles")).first()[0] or 0
-    found = keep(candidates(docs, shingles, k, percent), "candidates")
+    met = keep(candidates(docs, shingles, k, percent), "candidates")
     release(spark)
     several = used.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("x")).where("v < x")
     links = used.join(several, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    first = distinct_pairs(found.where("key IS NULL").select("bucket", "least", "pairs"), "a", "b").distinct()
+    first = distinct_pairs(met.where("key IS NULL").select("bucket", "pairs"), "a", "b")
     tried = keep(plausible(first, classes, percent), "plausible")
-    members = found.where("key IS NOT NULL").select(F.col("key").alias("bucket"), F.col("id").alias("node"), "tag")
+    members = met.where("key IS NOT NULL").select(F.col("key").alias("bucket"), F.col("id").alias("node"), "tag")
     groups = components(keep(links.unionByName(verified(tried, docs, classes, k, percent)), "links"))
     tried = tried.select("a", "b")
     release(spark)
-    # Larger buckets: first stars, as long as they link many nodes, then all pairs between components.
-    turn, number = 0 if not members.isEmpty() else None, classes.count()
-    while turn is not None:
+    number, again, nearest = classes.count(), not members.isEmpty(), True
+    while again:
         placed = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).where("x <> y").select("bucket", "members")
         placed = keep(placed.join(mixed, "bucket"), "mixed")
-        if turn >= 0:
-            more = plausible(crossing_stars(placed, turn).join(tried, ["a", "b"], "left_anti"), classes, percent)
-        else:
-            more = crossing_pairs(placed, classes, percent).join(tried, ["a", "b"], "left_anti")
-        more = keep(more, "crossing")
-        links = keep(verified(more, docs, classes, k, percent), "links")
-        groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
-        tried = tried.unionByName(more.select("a", "b"))
-        turn = None if turn < 0 else turn + 1 if links.count() >= STAR_SHARE * number else -1
-        del placed, mixed, more, links
+        more = keep(crossing_pairs(placed, classes, nearest, percent).join(tried, ["a", "b"], "left_anti"), "crossing")
+        found = 0
+        if not more.isEmpty():
+            links = keep(verified(more, docs, classes, k, percent), "links")
+            groups = components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+            tried, found = tried.unionByName(more.select("a", "b")), links.count()
+        again, nearest = nearest, nearest and found >= NEAREST_SHARE * number
+        del placed, mixed, more
         release(spark)
     # A component's id is its smallest document's; only documents that have a smaller one are named.
     rooted = classes.select("node", "doc").join(groups, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("root"))
