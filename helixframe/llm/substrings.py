@@ -1,16 +1,17 @@
-"""Substring dedup: recurring passages are found, compiled into sharded automata, and located in every document.
+"""Substring dedup: recurring passages are confirmed, compiled into sharded automata, and located in every document.
 
 Plan: (1) the hashes of all 13-word windows are exchanged in packed blocks; a part tells which documents hold a
 window first (its owners) and which hold it again. (2) Owners are dealt into shards; an owner that many documents
-repeat is salted, its automaton built in several tasks. (3) A task compiles its owners' passages into an
-Aho-Corasick automaton over word numbers, streams the documents routed to it, and confirms every located window
-word by word. Texts are exchanged only for documents that repeat something or are repeated.
+repeat is salted, its automaton built in several tasks. Only documents that own or repeat something are exchanged.
+(3) A task confirms the passages of its owners that recur in its documents, compiles them into an Aho-Corasick
+automaton over word numbers, and streams the documents through it; every located window is compared word by word.
+(4) Only the spans found travel back to the documents, of which those that lose nothing stay where they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .exchange import Packer, distinct_pairs, pack_pairs, parts_for, shared_runs, unpack
+from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, shared_runs, unpack
 from .storage import keep, release
 from .words import array_of, chunks, gram_starts, grams, hash_words, split_words
 
@@ -27,6 +28,7 @@ WINDOW = 13
 SHARD_DOCS = 400
 #: Bytes of text for each word, low, so that parts come out rather small.
 WORD_BYTES = 5
+REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None) -> DataFrame:
@@ -69,12 +71,18 @@ def routes(pairs: DataFrame) -> DataFrame:
     return once.groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salt", "owns", "search")).alias("places"))
 
 
+def passages(places: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """(first word, word after) of the runs of windows that start one word after the other; places: in order."""
+    apart = np.flatnonzero(np.diff(places) > 1)
+    return list(zip(places[np.concatenate([[0], apart + 1])].tolist(), (places[np.concatenate([apart, [len(places) - 1]])] + window).tolist(), strict=True)) if len(places) else []
+
+
 def locate(table: pa.Table, window: int = WINDOW) -> pa.Table:
     """Spans (first word, word after) of one shard's searched documents that stand in a smaller document it owns.
 
-    The automaton holds the owners' word blocks that start at every step-th word, step = window // 2 + 1: every
-    window holds such a block whole. A located block names the windows around it, and those are confirmed against
-    the owner's own words.
+    A passage is a run of an owner's windows that recur in a searched document. The automaton holds the passages'
+    word blocks that start at every step-th word, step = window // 2 + 1: every window holds such a block whole. A
+    located block names the windows around it, and those are confirmed against the owner's own words.
     """
     import ahocorasick
 
@@ -82,21 +90,23 @@ def locate(table: pa.Table, window: int = WINDOW) -> pa.Table:
     ids = table.column("doc_id").to_numpy()
     owns, search = (np.asarray(array_of(table.column(c)).to_numpy(zero_copy_only=False), bool) for c in ("owns", "search"))
     codes, ends, words = split_words(array_of(table.column("text")))
-    table_hashes = hash_words(words)
-    hashes = grams(table_hashes[codes], window)
+    hashes = grams(hash_words(words)[codes], window)
     starts, text = gram_starts(ends, window)
+    sought = np.unique(hashes[starts[search[text]]])
     owned = owns[text]
     place, key, who = starts[owned], hashes[starts[owned]], ids[text[owned]]
+    at = np.minimum(np.searchsorted(sought, key), len(sought) - 1)
+    again = sought[at] == key if len(sought) else np.zeros(len(key), bool)
+    place, key, who = place[again], key[again], who[again]
     order = np.lexsort((who, key))
-    place, key, who = place[order], key[order], who[order]
+    sorted_place, key, who = place[order], key[order], who[order]
     once = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    place, key, who = place[once], key[once], who[once]  # of each window the smallest owner
+    sorted_place, key, who = sorted_place[once], key[once], who[once]  # of each window the smallest owner
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for row in np.flatnonzero(owns).tolist():
-        begin, end = int(ends[row]), int(ends[row + 1])
+    for begin, end in passages(np.sort(sorted_place), window):
         part = codes[begin:end].tolist()
-        for at in range(0, len(part) - step + 1, step) if len(part) >= window else ():
-            automaton.add_word(tuple(part[at : at + step]), 1)
+        for block in range(0, len(part) - step + 1, step):
+            automaton.add_word(tuple(part[block : block + step]), 1)
     out: list[tuple[int, int, bytes]] = []
     if len(automaton):
         automaton.make_automaton()
@@ -118,7 +128,7 @@ def locate(table: pa.Table, window: int = WINDOW) -> pa.Table:
             near, at = near[smaller], at[smaller]
             same = np.ones(len(near), bool)
             for j in range(window):
-                same &= codes[near + j] == codes[place[at] + j]
+                same &= codes[near + j] == codes[sorted_place[at] + j]
             near = near[same] - begin
             if len(near):
                 apart = np.flatnonzero(np.diff(near) > window)
@@ -127,40 +137,55 @@ def locate(table: pa.Table, window: int = WINDOW) -> pa.Table:
     return pa.table({"doc_id": pa.array([r[0] for r in out], pa.int64()), "key": pa.array([r[1] for r in out], pa.int64()), "spans": pa.array([r[2] for r in out], pa.binary())})
 
 
-def remove(text: str, spans: list[bytes]) -> tuple[list[bytes], int]:
+def remove(text: str | None, spans: list[bytes]) -> tuple[list[bytes], int]:
     """(words left, number removed) of a text and the spans found in it; spans may overlap."""
-    words = text.encode().split()
+    words = (text or "").encode().split()
     gone = np.zeros(len(words) + 1, np.int64)
-    both = np.concatenate([np.frombuffer(s, np.int64).reshape(-1, 2) for s in spans])
-    np.add.at(gone, both[:, 0], 1)
-    np.add.at(gone, both[:, 1], -1)
+    for found in spans:
+        both = np.frombuffer(found, np.int64).reshape(-1, 2)
+        np.add.at(gone, both[:, 0], 1)
+        np.add.at(gone, both[:, 1], -1)
     kept = np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist()
     return [words[i] for i in kept], len(words) - len(kept)
 
 
-def changed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, new_text, n_removed) of the documents that lose words; key is the hash of the old text."""
+Batches = Iterator[pa.RecordBatch]
+
+
+def part_of_ids(rows: DataFrame, there: np.ndarray, inside: bool, then: Callable[[Batches], Batches] | None = None, schema=None) -> DataFrame:
+    """Rows whose doc_id an id filter lets through, or the others, or what `then` makes of them; a null id is one of the others."""
+
+    def chosen(batches: Batches) -> Batches:
+        for batch in batches:
+            ids = batch.column(batch.schema.names.index("doc_id")).cast(pa.int64())
+            hit = passes(there, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
+            if (hit == inside).any():
+                yield batch.filter(pa.array(hit == inside))
+
+    return rows.mapInArrow((lambda batches: then(chosen(batches))) if then else chosen, schema or rows.schema)
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, key, spans) of the documents that lose words; key is the hash of the text, spans their first words and words after."""
     spark = docs.sparkSession
-    pairs = keep(repeats(docs, window), "repeats")
     release(spark)
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
-    involved = keep(docs.join(routes(pairs), "doc_id"), "involved")
+    pairs = keep(repeats(docs, window), "repeats")
     release(spark)
-    routed = involved.select("doc_id", "key", "text", F.inline("places"))
+    # Only documents that own or repeat something are exchanged.
+    there = id_filter(pairs.select(F.explode(F.array("owner", "doc_id")).alias("id")).distinct(), "id")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    routed = part_of_ids(texts, there, True).join(routes(pairs), "doc_id").select("doc_id", "key", "text", F.inline("places"))
     spans = routed.groupBy("shard", "salt").applyInArrow(lambda t: locate(t, window), "doc_id long, key long, spans binary")
-    spans = spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans"))
+    out = keep(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
+    release(spark)
+    return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words, n = remove(text, found)
-                texts.append(b" ".join(words).decode())
-                removed.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "key", "new_text", "n_removed"])
 
-    joined = involved.dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text").join(spans, ["doc_id", "key"])
-    return joined.mapInArrow(cut, "doc_id long, key long, new_text string, n_removed long")
+def with_spans(rows: DataFrame, spans: DataFrame, there: np.ndarray) -> DataFrame:
+    """The rows that may lose words, with their _spans (null: none)."""
+    some = part_of_ids(rows, there, True).withColumn("_key", F.xxhash64("text"))
+    found = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_found"), F.col("spans").alias("_spans"))
+    return some.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_found")), "left").select(*rows.columns, "_spans")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -170,24 +195,33 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     as they are. A row without an id or text stays and serves as no one's earlier document; rows that share an id
     don't count against each other. Extra columns stay. An empty table gives no rows.
     """
-    new = keep(changed(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("new_text").alias("_new")), "changed")
-    rows = docs.withColumn("_key_of", F.xxhash64("text"))
-    joined = rows.join(new, (F.col("doc_id") == F.col("_id")) & (F.col("_key_of") == F.col("_key")), "left")
-    return joined.withColumn("text", F.coalesce("_new", "text")).select(*docs.columns)
+    spans = repeated_spans(docs, window)
+    there = id_filter(spans, "doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            texts = [b" ".join(remove(text, spans)[0]).decode() if spans else text for text, spans in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
+            columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)][:-1]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return with_spans(docs, spans, there).mapInArrow(cut, docs.schema).unionByName(part_of_ids(docs, there, False))
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row: what dedup_substrings leaves, as one digest."""
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, digest = [], []
-            for text in batch.column("text"):
-                words = (text.as_py() or "").encode().split()
-                number.append(len(words))
-                digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(number, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "key", "n_words", "whole_sha256"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(whole, "doc_id long, key long, n_words long, whole_sha256 string")
-    new = changed(docs, window).select("doc_id", "key", "n_removed", F.sha2("new_text", 256).alias("sha256"))
-    return rows.join(new, ["doc_id", "key"], "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha256", "whole_sha256").alias("kept_sha256"))
+            out = []
+            spans = batch.column("_spans").to_pylist() if "_spans" in batch.schema.names else [None] * batch.num_rows
+            for text, found in zip(batch.column("text"), spans, strict=True):
+                words, gone = remove(text.as_py(), found or [])
+                out.append((len(words) + gone, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spans = repeated_spans(docs, window)
+    there = id_filter(spans, "doc_id")
+    return with_spans(rows, spans, there).mapInArrow(digest, REPORT).unionByName(part_of_ids(rows, there, False, digest, REPORT))
