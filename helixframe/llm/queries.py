@@ -50,7 +50,7 @@ def op6_histogram_sharding(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
-    return mix_sources(read(spark, directory, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(read(spark, directory, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "n_shards")
 
 
 def op8_html_extraction(spark: SparkSession, directory: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,9 +43,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that are no longer referenced, and delete the tables that none reads."""
-    gc.collect()
     context = spark.sparkContext
-    context._jvm.System.gc()
+    for _ in range(2):  # listeners may hold a finished plan for a moment
+        gc.collect()
+        context._jvm.System.gc()
+        time.sleep(0.2)
     left = []
     for path, index in _written.pop(context.applicationId, []):
         if index.get() is None:

@@ -287,8 +287,19 @@ def test_targets():
 
 
 def test_permutation():
-    for n in (1, 2, 3, 17, 1000):
-        assert sorted(mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 7)).tolist()) == list(range(n))
+    for n in (1, 2, 3, 4, 5, 16, 17, 1000):
+        there = mixing.permuted(np.arange(n), n, 7)
+        assert sorted(there.tolist()) == list(range(n)) and mixing.permuted(there, n, 7, back=True).tolist() == list(range(n))
+
+
+def test_slots_take_the_target_to_the_word():
+    rng = random.Random(4)
+    for size in [1, 2, 63, 64, 65, 128, 200, 713, *(rng.randint(1, 5000) for _ in range(60))]:
+        for words in {1, size, 2 * size, 3 * size, rng.randint(0, 3 * size), rng.randint(0, 3 * size)}:
+            number, last = mixing.slots_for(words, size, 64, 99)
+            taken = mixing.block_words(np.arange(number), size, 64, 99)
+            assert number == 0 or 1 <= last <= taken[-1]
+            assert words == (taken[:-1].sum() + last if number else 0)
 
 
 def test_mixing(spark, docs, rows):
@@ -304,7 +315,7 @@ def test_mixing(spark, docs, rows):
         target[source[r["doc_id"]]] = r["target"]
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     assert [target[s] for s in order] == pytest.approx(mixing.targets([totals[s] for s in order]))
-    assert all(abs(taken[s] - target[s]) <= max(0.02 * target[s], 2 * mixing.BLOCK) for s in totals)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in totals)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs.repartition(5)).collect()), key=str)
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
@@ -313,7 +324,44 @@ def test_mixing(spark, docs, rows):
         assert r["n_chars"] == len(r["text"])
         out[r["doc_id"]] += len(r["text"].encode().split())
     assert {i: n for i, n in out.items() if n} == {r["doc_id"]: r["taken"] for r in got if r["taken"]}
-    assert mixing.mix_sources(docs.limit(0)).count() == 0
+    assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_mixing_shards_follow_the_draw(spark, docs, rows):
+    """The blocks of every shard are as many of each source as the multinomial drew, and hold each source's words."""
+    blocks = [r.asDict() for r in mixing.mixed_blocks(docs, shards=5).collect()]
+    whole = {r["doc_id"]: r for r in mixing.mix_sources(docs, shards=5).collect()}
+    found, words, shards = collections.defaultdict(set), collections.Counter(), collections.defaultdict(set)
+    for r in blocks:
+        found[r["shard"], r["source"]].add(r["place"])
+        words[r["doc_id"]] += len(r["text"].split(" "))
+        shards[r["doc_id"]].add(r["shard"])
+    totals = collections.Counter()
+    for _, t, _, source, *_ in rows:
+        totals[source] += len(WORD.findall(t or ""))
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    for number, (source, target) in enumerate(zip(order, mixing.targets([totals[s] for s in order]), strict=True)):
+        slots, _ = mixing.slots_for(round(target), totals[source], mixing.BLOCK, mixing.SEED * 1_000_003 + number)
+        assert [len(found[shard, source]) for shard in range(5)] == mixing.draw_counts(slots, 5, mixing.SEED, number).tolist()
+    assert {i: n for i, n in words.items()} == {i: r["taken"] for i, r in whole.items() if r["taken"]}
+    assert all((r["first_shard"], r["n_shards"]) == ((min(shards[i]), len(shards[i])) if r["taken"] else (None, 0)) for i, r in whole.items())
+
+
+def test_mixing_repeated_rows_and_small_sources(spark):
+    text = " ".join(f"w{i}" for i in range(65))
+    many = [(None, text, "a")] * 7 + [(1, "x " * 1000, "b"), (2, "y " * 200, "c"), (3, None, "c"), (3, "", None)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    target = dict(zip("abc", mixing.targets([455, 1000, 200]), strict=True))
+    taken = collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert r["taken"] <= 3 * r["size"]
+    assert len(got) == len(many) and all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+    out = collections.Counter()
+    for r in mixing.mixed_documents(df).collect():
+        out[r["source"]] += len(r["text"].split())
+    assert out == {s: n for s, n in taken.items() if n}
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
@@ -491,7 +539,7 @@ def test_pipeline(spark, rows, tmp_path, monkeypatch):
         totals[r[3]] += len(r[1].encode().split())
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     for source, target in zip(order, mixing.targets([totals[s] for s in order]), strict=True):
-        assert abs(taken[source] - target) <= max(0.02 * target, 2 * mixing.BLOCK)
+        assert abs(taken[source] - target) <= 0.5
     assert 1 < max(times.values()) <= 3
 
     # Documents that the mix repeats are packed as often.
