@@ -324,5 +324,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENI
         return table.select(columns).append_column("sequence_id", pa.array(where + (block << 32), pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     schema = PIECES + (", input_ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    block = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks))
+    # Dealt by the row's number, so that repeated rows spread as others do.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     return pieces.withColumn("block", block).groupBy("block").applyInArrow(run, schema)
