@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import keep
+from .storage import keep, release
 
 SHARDS = 40
 #: What a row weighs besides its text.
@@ -30,9 +30,9 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def sort_key() -> Column:
-    """Equal texts stand together: the high 40 bits are of the text's hash. The low 24 bits, of the id's hash, part a group that outgrows a shard."""
+    """Equal texts stand together: the high 40 bits are of the text's hash. The low 24 bits, of the id's and the row number's hash, part a group that outgrows a shard or a task, also one of repeated rows."""
     high = F.shiftleft(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 24), 24)
-    return high.bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 24) - 1)))
+    return high.bitwiseOR(F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
 def sums_below(rows: DataFrame, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,21 +91,38 @@ def splitters(rows: DataFrame, total: int, shards: int = SHARDS, tolerance: floa
                 high[i], above[i] = keys[at], sizes[at]
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+def fine_edges(rows: DataFrame, cuts: np.ndarray, number: int, most: int = RANGE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, rows below each): the cuts and as many boundaries between them that no range has more than twice `most` rows, unless they share a key."""
+    ranges = -(-number // most)
+    edges = np.unique(np.concatenate([cuts, np.array([LOW + ((1 << 64) * j) // ranges for j in range(1, ranges)], np.int64)]))
+    while True:
+        _, before = sums_below(rows, edges)
+        counts = np.diff([0, *before.tolist(), number])
+        bounds = [LOW, *edges.tolist(), HIGH + 1]
+        more: set[int] = set()
+        for i in np.flatnonzero(counts > 2 * most).tolist():
+            gap, pieces = bounds[i + 1] - bounds[i], max(PROBES, -(-int(counts[i]) // most))
+            more.update(bounds[i] + gap * j // pieces for j in range(1, pieces))
+        more.difference_update(bounds)
+        if not more:
+            return edges, before
+        edges = np.array(sorted({*edges.tolist(), *more}), np.int64)
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Deal all documents into `shards` shards of near-equal bytes; slots number each shard's rows from 0 in key order.
 
     size counts a null text as empty. Equal texts get neighbouring keys, so a group stays in one shard unless a
     splitter must cut it. A null doc_id is a value like another; repeated rows each get a slot. An empty table gives
     no rows. Columns other than doc_id and text aren't read.
     """
+    release(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = keep(docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), sort_key().alias("key")), "shards")
     total, number = rows.agg(F.sum("size"), F.count("*")).first()
     cuts = splitters(rows, total or 0, shards, tolerance)
     # Finer ranges for the one exchange; a shard's splitters are among their boundaries.
-    ranges = -(-number // RANGE_ROWS)
-    edges = np.unique(np.concatenate([cuts, np.array([LOW + ((1 << 64) * j) // ranges for j in range(1, ranges)], np.int64)]))
-    _, before = sums_below(rows, edges)
+    edges, before = fine_edges(rows, cuts, number, range_rows)
     before = np.concatenate([[0], before])
     shard = np.searchsorted(cuts, np.concatenate([[LOW], edges]), "right")
     first = before[np.searchsorted(shard, shard, "left")] if len(shard) else before

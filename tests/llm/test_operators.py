@@ -277,6 +277,26 @@ def test_sharding(spark, docs, rows):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def test_sharding_repeated_rows(spark):
+    """A hundred thousand equal rows without an id among others: sizes stay near equal, no range outgrows its bound."""
+    same = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    df = same.unionByName(spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("text")))
+    got = sharding.shard_documents(df, range_rows=4000).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 120_000 and len(sizes) == 40 and sizes.max() - sizes.min() < 0.05 * sizes.mean()
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+    rows = df.select(sharding.sort_key().alias("key"), F.lit(16).alias("size")).persist()
+    edges, before = sharding.fine_edges(rows, np.array([], np.int64), 120_000, 4000)
+    assert np.diff([0, *before.tolist(), 120_000]).max() <= 8000
+    rows.unpersist()
+
+
+def test_packing_repeated_rows(spark):
+    same = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    got = packing.pack_documents(same).select((F.col("sequence_id") / 2**32).cast("int").alias("block")).groupBy("block").count().collect()
+    assert len(got) == 3 and max(r["count"] for r in got) < 2 * packing.BLOCK_PIECES
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------
 
 
