@@ -9,7 +9,7 @@ from helixframe.llm.jaccard import first_of_groups
 from helixframe.llm.mixing import mixed_documents
 from helixframe.llm.packing import pack_documents
 from helixframe.llm.quality import good_documents
-from helixframe.llm.storage import keep
+from helixframe.llm.storage import keep, release
 from helixframe.llm.substrings import dedup_substrings
 from helixframe.sources.shipping import ship
 
@@ -45,6 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of at most 2048 tokens."""
     ship(spark)
+    release(spark)
     return pack_documents(docs)
 
 
@@ -62,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark)  # what only the stages before read goes
     return docs
