@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U64, mix
+from .words import U64, mix, tidy
 
 #: Keys in a part on average; a task needs about 50 bytes for each.
 PART_KEYS = 2_500_000
@@ -143,6 +143,7 @@ def pack_pairs(pairs: np.ndarray, buckets: int) -> pa.Table:
 def distinct_pairs(packed: DataFrame, first: str, second: str) -> DataFrame:
     """The distinct pairs of packed rows. Parts repeat each other's pairs, so they are merged as arrays before they become rows."""
 
+    @tidy
     def merge(table: pa.Table) -> pa.Table:
         both = np.concatenate([np.frombuffer(p.as_buffer(), np.int64).reshape(-1, 2) for p in table.column("pairs")])
         both = both[np.lexsort((both[:, 0], both[:, 1]))]

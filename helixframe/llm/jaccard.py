@@ -34,7 +34,7 @@ from . import exchange
 from .components import components
 from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, unpack
 from .storage import keep, release
-from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, spans, split_words
+from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, spans, split_words, tidy
 
 SHINGLE = 5
 #: Least similarity in percent.
@@ -155,6 +155,7 @@ def near_enough(x: list[bytes], y: list[bytes], most: np.ndarray) -> np.ndarray:
 def facts(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, node, sketch) of every row; node: the set's hash."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -306,6 +307,7 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
     """(bucket, pairs, key, id, tag): rows of packed pairs to compare, and larger buckets' members, whose key isn't null."""
     parts = parts_for(shingles * 7 // 10)
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts), set()
         for batch in batches:
@@ -322,6 +324,7 @@ def candidates(docs: DataFrame, shingles: int, k: int = SHINGLE, percent: int =
                     yield from packer.add(*rows)
         yield packer.flush()
 
+    @tidy
     def find(table: pa.Table) -> pa.Table:
         pairs, members, tags = bucket_pairs(*unpack(table))
         packed = pack_pairs(pairs, parts)
@@ -340,6 +343,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     def side(name: str) -> DataFrame:
         return classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.asarray(batch.column("n_a")) + np.asarray(batch.column("n_b"))
@@ -364,6 +368,7 @@ def crossing_pairs(placed: DataFrame, classes: DataFrame, nearest: bool, percent
     sided = sided.select(*kept, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "alone")
     group = F.when(F.col("alone"), F.pmod(F.xxhash64("bucket"), F.lit(groups))).otherwise(F.xxhash64("bucket", "low", "high"))
 
+    @tidy
     def meet(table: pa.Table) -> pa.Table:
         bucket, node, component, n, tag, block, low, high = (table.column(c).to_numpy() for c in ("bucket", "node", "component", "n", "tag", "block", "low", "high"))
         widths = by_width(table.column("sketch").to_pylist())
@@ -415,6 +420,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
     """(node, elements): the shingle sets of the documents with the wanted ids, and of a few others; texts aren't exchanged."""
     there = id_filter(wanted, "doc")
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -436,6 +442,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = SHI
     Pairs of one a are dealt into groups of about GROUP_ELEMENTS elements; a group gets the set of a and those of its b once.
     """
 
+    @tidy
     def check(table: pa.Table) -> pa.Table:
         hub, node = table.column("a")[0].as_py(), table.column("node").to_numpy()
         sets = [np.frombuffer(x.as_buffer(), U64) for x in table.column("elements")]

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import keep, release
+from .words import tidy
 
 WEIGHTS = (5, 2, 1)
 #: No source gives more than this many times its own words.
@@ -154,6 +155,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = B
     rows = rows.join(sources.hint("broadcast") if few else sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rows = keep(word_ranges(rows, rows.count()), "mix-ranges")
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, size, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -164,6 +166,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = B
                 columns = [pa.array([r[i] for r in runs], pa.int64()) for i in range(3)] + [pa.array([x] * len(runs), pa.int64()) for x in (source, size, number, last)]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "start", "number", "source_no", "size", "slots", "last"])
 
+    @tidy
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, start, number, source, size, slots, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -234,6 +237,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block:
     parts = taken_parts(rows, slots, block, "turn").groupBy("row").agg(F.collect_list(F.struct("turn", "first", "words")).alias("_parts"))
     joined = docs.join(parts, docs["_row"] == parts["row"]).select(*schema.names, "_parts")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, texts = [], []

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import array_of, chunks, spans, split_words
+from .words import array_of, chunks, spans, split_words, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +83,7 @@ def tokenizer(name: str) -> WordTokenizer:
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """Cut every document's ids (and the closing id 0) into pieces of at most `capacity`; with_ids adds them as `input_ids`."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(name)
         for batch in batches:
@@ -318,6 +319,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENI
     pieces = token_pieces(docs, capacity, name, with_ids)
     columns = pieces.columns
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         where, offset = pack_sizes(table.column("length").to_numpy(), capacity)
         block = table.column("block")[0].as_py()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import exchange
 from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, shared_runs, unpack
 from .storage import keep, release
-from .words import array_of, chunks, gram_starts, grams, hash_words, split_words
+from .words import array_of, chunks, gram_starts, grams, hash_words, split_words, tidy
 
 WINDOW = 13
 #: Documents routed to a task on average, and of one owner at most.
@@ -37,6 +37,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None
         text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = parts_for(text_bytes // WORD_BYTES)
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
         for batch in batches:
@@ -47,6 +48,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, text_bytes: int | None = None
                 yield from packer.add(hashes[starts], np.asarray(part.column("doc_id"))[text])
         yield packer.flush()
 
+    @tidy
     def find(table: pa.Table) -> pa.Table:
         run, ids = shared_runs(*unpack(table)[:2])
         if not len(run):
@@ -155,6 +157,7 @@ Batches = Iterator[pa.RecordBatch]
 def part_of_ids(rows: DataFrame, there: np.ndarray, inside: bool, then: Callable[[Batches], Batches] | None = None, schema=None) -> DataFrame:
     """Rows whose doc_id an id filter lets through, or the others, or what `then` makes of them; a null id is one of the others."""
 
+    @tidy
     def chosen(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column(batch.schema.names.index("doc_id")).cast(pa.int64())
@@ -175,7 +178,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     there = id_filter(pairs.select(F.explode(F.array("owner", "doc_id")).alias("id")).distinct(), "id")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     routed = part_of_ids(texts, there, True).join(routes(pairs), "doc_id").select("doc_id", "key", "text", F.inline("places"))
-    spans = routed.groupBy("shard", "salt").applyInArrow(lambda t: locate(t, window), "doc_id long, key long, spans binary")
+    spans = routed.groupBy("shard", "salt").applyInArrow(tidy(lambda t: locate(t, window)), "doc_id long, key long, spans binary")
     out = keep(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
     release(spark)
     return out
@@ -198,6 +201,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spans = repeated_spans(docs, window)
     there = id_filter(spans, "doc_id")
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index("text")
@@ -211,6 +215,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row: what dedup_substrings leaves, as one digest."""
 
+    @tidy
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +14,35 @@ import xxhash
 
 #: Bytes of text handled at once inside a Python worker; it bounds the size of the temporary arrays.
 CHUNK_BYTES = 6 << 20
+#: Size of a group after which a worker tidies up.
+TRIM_BYTES = 4 << 20
 U64 = np.uint64
 
 
+def tidy(run: Callable) -> Callable:
+    """A worker's function that gives free memory back to the system when a task, or a larger group, is done; idle workers would hold it."""
+
+    def trim() -> None:
+        pa.default_memory_pool().release_unused()
+        give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give_back:
+            give_back(0)
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    @functools.wraps(run)
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes > TRIM_BYTES:
+            trim()
+        return out
+
+    return task if inspect.isgeneratorfunction(run) else group
+
+
 def array_of(column) -> pa.Array:
     """One array of a column that may be chunked."""
     if isinstance(column, pa.ChunkedArray):
