@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import keep
 from .words import U64, mix, tidy
 
-#: Keys in a part on average; a task needs about 50 bytes for each.
-PART_KEYS = 2_500_000
+#: Keys in a part on average; a task needs about 100 bytes for each.
+PART_KEYS = 1_250_000
 #: Keys a task gathers before it passes them on.
-FLUSH_KEYS = 1_500_000
+FLUSH_KEYS = 1_000_000
 SCHEMA = "part int, keys binary, ids binary, counts binary"
 LOW = U64((1 << 56) - 1)
 
@@ -81,33 +82,25 @@ def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(ids), np.concatenate(tags)
 
 
-#: Bits of an id filter for each id, and most bits, which the driver and every task hold (4 MB). Beyond it more ids pass than asked for.
+#: Bits of an id filter for each id, and most bits, which are broadcast as at most FILTER_MOST / 64 rows of two numbers (8 MB). Beyond it more ids pass than asked for.
 FILTER_EACH, FILTER_MOST = 16, 1 << 25
 
 
-def passes(there: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether an id filter's bit is set for each id: for every id it was made of, and for a few others."""
-    at = mix(ids.astype(np.int64).view(U64)) & U64(64 * len(there) - 1)
-    return (there[at >> U64(6)] >> (at & U64(63))) & U64(1) > 0
-
-
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit field of a bounded size, at most FILTER_MOST bits, that passes() asks. It spares rows an exchange; the join that follows decides."""
+def id_filter(ids: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A bit field of a bounded size in rows of 64 bits, for let_through(). It spares rows an exchange; the join that follows decides."""
     number = ids.count()
-    bits = max(64, min(FILTER_MOST, 1 << (FILTER_EACH * number - 1).bit_length() if number else 64))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.zeros(bits // 64, U64)
-        for batch in batches:
-            at = mix(np.asarray(batch.column(0)).astype(np.int64).view(U64)) & U64(bits - 1)
-            np.bitwise_or.at(there, (at >> U64(6)).astype(np.int64), U64(1) << (at & U64(63)))
-        words = np.flatnonzero(there)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(there[words].view(np.int64))], ["word", "bits"])
-
-    marks = ids.select(column).mapInArrow(mark, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, U64)
-    out[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(U64)
-    return out
+    bits = max(64, min(FILTER_MOST, 1 << (FILTER_EACH * number).bit_length()))
+    at = f"xxhash64(cast({column} as bigint)) & {bits - 1}L"
+    marks = ids.selectExpr(f"shiftright({at}, 6) AS _word", f"shiftleft(1L, cast({at} & 63 as int)) AS _mark")
+    return keep(marks.groupBy("_word").agg(F.bit_or("_mark").alias("_marks")), "filter"), bits
+
+
+def let_through(rows: DataFrame, there: tuple[DataFrame, int], inside: bool = True) -> DataFrame:
+    """Rows whose doc_id is in an id filter (all that it was made of, and a few others), or the rest."""
+    marks, bits = there
+    at = f"xxhash64(cast(doc_id as bigint)) & {bits - 1}L"
+    hit = (F.expr(f"shiftright({at}, 6)") == marks["_word"]) & (F.expr(f"shiftleft(1L, cast({at} & 63 as int))").bitwiseAND(marks["_marks"]) != 0)
+    return rows.join(F.broadcast(marks), hit, "left_semi" if inside else "left_anti")
 
 
 def shared_runs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .components import components
-from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, unpack
+from .exchange import Packer, distinct_pairs, id_filter, let_through, pack_pairs, parts_for, unpack
 from .storage import keep, release
 from .words import U64, array_of, chunks, gram_starts, grams, hash_words, mix, spans, split_words, tidy
 
@@ -418,13 +418,10 @@ def crossing_pairs(placed: DataFrame, classes: DataFrame, nearest: bool, percent
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(node, elements): the shingle sets of the documents with the wanted ids, and of a few others; texts aren't exchanged."""
-    there = id_filter(wanted, "doc")
-
     @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
-            batch = batch.filter(pa.array(passes(there, np.asarray(batch.column("doc_id")))))
             for part in chunks(batch):
                 values, ends = shingle_sets(array_of(part.column("text")), k)
                 names, raw = nodes(mix(values), ends), memoryview(values).cast("B")
@@ -432,8 +429,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFram
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([bytes(raw[8 * ends[i] : 8 * ends[i + 1]]) for i in new.values()], pa.binary())], ["node", "elements"])
 
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "node long, elements binary")
-    return texts.groupBy("node").agg(F.first("elements").alias("elements"))
+    texts = let_through(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), id_filter(wanted, "doc")).select("text")
+    return texts.mapInArrow(sets, "node long, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

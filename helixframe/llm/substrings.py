@@ -11,7 +11,7 @@ automaton over word numbers, and streams the documents through it; every located
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
-from .exchange import Packer, distinct_pairs, id_filter, pack_pairs, parts_for, passes, shared_runs, unpack
+from .exchange import Packer, distinct_pairs, id_filter, let_through, pack_pairs, parts_for, shared_runs, unpack
 from .storage import keep, release
 from .words import array_of, chunks, gram_starts, grams, hash_words, split_words, tidy
 
@@ -151,23 +151,6 @@ def remove(text: str | None, spans: list[bytes]) -> tuple[list[bytes], int]:
     return [words[i] for i in kept], len(words) - len(kept)
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
-def part_of_ids(rows: DataFrame, there: np.ndarray, inside: bool, then: Callable[[Batches], Batches] | None = None, schema=None) -> DataFrame:
-    """Rows whose doc_id an id filter lets through, or the others, or what `then` makes of them; a null id is one of the others."""
-
-    @tidy
-    def chosen(batches: Batches) -> Batches:
-        for batch in batches:
-            ids = batch.column(batch.schema.names.index("doc_id")).cast(pa.int64())
-            hit = passes(there, np.asarray(ids.fill_null(0))) & np.asarray(ids.is_valid())
-            if (hit == inside).any():
-                yield batch.filter(pa.array(hit == inside))
-
-    return rows.mapInArrow((lambda batches: then(chosen(batches))) if then else chosen, schema or rows.schema)
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, spans) of the documents that lose words; key is the hash of the text, spans their first words and words after."""
     spark = docs.sparkSession
@@ -177,16 +160,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # Only documents that own or repeat something are exchanged.
     there = id_filter(pairs.select(F.explode(F.array("owner", "doc_id")).alias("id")).distinct(), "id")
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    routed = part_of_ids(texts, there, True).join(routes(pairs), "doc_id").select("doc_id", "key", "text", F.inline("places"))
+    routed = let_through(texts, there).join(routes(pairs), "doc_id").select("doc_id", "key", "text", F.inline("places"))
     spans = routed.groupBy("shard", "salt").applyInArrow(tidy(lambda t: locate(t, window)), "doc_id long, key long, spans binary")
     out = keep(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("spans")), "spans")
     release(spark)
     return out
 
 
-def with_spans(rows: DataFrame, spans: DataFrame, there: np.ndarray) -> DataFrame:
+def with_spans(rows: DataFrame, spans: DataFrame, there: tuple[DataFrame, int]) -> DataFrame:
     """The rows that may lose words, with their _spans (null: none)."""
-    some = part_of_ids(rows, there, True).withColumn("_key", F.xxhash64("text"))
+    some = let_through(rows, there).withColumn("_key", F.xxhash64("text"))
     found = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_found"), F.col("spans").alias("_spans"))
     return some.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_found")), "left").select(*rows.columns, "_spans")
 
@@ -209,7 +192,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)][:-1]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return with_spans(docs, spans, there).mapInArrow(cut, docs.schema).unionByName(part_of_ids(docs, there, False))
+    return with_spans(docs, spans, there).mapInArrow(cut, docs.schema).unionByName(let_through(docs, there, False))
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -229,4 +212,4 @@ def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs, window)
     there = id_filter(spans, "doc_id")
-    return with_spans(rows, spans, there).mapInArrow(digest, REPORT).unionByName(part_of_ids(rows, there, False, digest, REPORT))
+    return with_spans(rows, spans, there).mapInArrow(digest, REPORT).unionByName(let_through(rows, there, False).mapInArrow(digest, REPORT))
