@@ -183,10 +183,13 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = B
 
 
 def taken_parts(rows: DataFrame, slots: DataFrame, block: int, *more: str) -> DataFrame:
-    """Parts of documents that a slot takes: the keys of the row, first word inside the document, words, and columns of the slot."""
+    """Parts of documents that a slot takes: the keys of the row, first word inside the document, words, and columns of the slot.
+
+    Spark takes what grows from the table of sources for as small as that, so joins with it name their kind and nothing is broadcast unchecked.
+    """
     parts = rows.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("_words"))
-    joined = parts.select("row", "source_no", "start", "size", "block").join(slots.withColumnRenamed("words", "_words"), ["source_no", "block"]).where(high > low)
+    joined = parts.select("row", "source_no", "start", "size", "block").join(slots.withColumnRenamed("words", "_words").hint("merge"), ["source_no", "block"]).where(high > low)
     return joined.select("row", "source_no", "start", (low - F.col("start")).alias("first"), (high - low).alias("words"), *more)
 
 
@@ -203,7 +206,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     parts = taken_parts(rows, often, block, "times", "held")
     given = parts.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"))
     # A range with words belongs to one row, so its source and start are that row's key.
-    joined = rows.join(given.withColumnRenamed("start", "_start"), (rows["source_no"] == given["source_no"]) & (rows["start"] == F.col("_start")) & (rows["size"] > 0), "left").drop(given["source_no"])
+    joined = rows.join(given.withColumnRenamed("start", "_start").hint("merge"), (rows["source_no"] == given["source_no"]) & (rows["start"] == F.col("_start")) & (rows["size"] > 0), "left").drop(given["source_no"])
     return joined.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.array_min("held").cast("int").alias("first_shard"), F.coalesce(F.size("held"), F.lit(0)).alias("n_shards"))
 
 
@@ -222,7 +225,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int
     rows, slots = plan_mix(docs.withColumnRenamed("_row", "row"), weights, block, shards, seed)
     parts = taken_parts(rows, slots, block, "shard", "slot").withColumn("place", F.xxhash64("source_no", "slot", F.lit(seed)))
     words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.col("first") + 1, F.col("words")), " ")
-    return parts.join(docs, parts["row"] == docs["_row"]).select(F.col("shard").cast("int").alias("shard"), "place", "source", "doc_id", words.alias("text"))
+    return parts.hint("merge").join(docs, parts["row"] == docs["_row"]).select(F.col("shard").cast("int").alias("shard"), "place", "source", "doc_id", words.alias("text"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -235,7 +238,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block:
     schema, docs = docs.schema, numbered(docs)
     rows, slots = plan_mix(docs.select("doc_id", "source", "text", F.col("_row").alias("row")), weights, block, shards, seed)
     parts = taken_parts(rows, slots, block, "turn").groupBy("row").agg(F.collect_list(F.struct("turn", "first", "words")).alias("_parts"))
-    joined = docs.join(parts, docs["_row"] == parts["row"]).select(*schema.names, "_parts")
+    joined = docs.join(parts.hint("merge"), docs["_row"] == parts["row"]).select(*schema.names, "_parts")
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
