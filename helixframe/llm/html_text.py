@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,8 @@ NEARLY_ALL = 0.9
 INSIDE = frozenset("article main".split())
 INSIDE_NAMES = frozenset("article post entry content story body main text articlebody".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: A quote opens a value only after an equals sign, and only if it is closed somewhere. Possessive repeats keep it linear.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(>|$)|([^<]++|<)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "title", "textarea", "noscript", "iframe", "template")}
 SPACE = re.compile(r"\s+")
@@ -140,9 +142,13 @@ def blocks(page: str) -> list[Block]:
     # An element that is outside by its name only, but is as good as the whole page, is no part beside the article.
     total = sum(b[1] for b in found if not b[3])
     freed: set[int] = set()
+    held = Counter()
+    for b, h in zip(found, holders, strict=True):
+        if not b[3]:
+            held.update(dict.fromkeys(h, b[1]))
     for e, (_, marks) in enumerate(wrappers):
-        within = [e in h for h in holders]
-        if total and sum(b[1] for b, w in zip(found, within, strict=True) if w and not b[3]) >= NEARLY_ALL * total:
+        if total and held[e] >= NEARLY_ALL * total:
+            within = [e in h for h in holders]
             now = settled(found, holders, wrappers, freed)
             rest = [b for b, w in zip(now, within, strict=True) if not w]
             if not any(b[4] for b in rest) and (marks or not any(kept(rest))):
@@ -162,6 +168,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bo
     wrappers: list[list[bool]] = []
     around: list[int] = []
     stack: list[tuple[str, bool, bool, bool]] = []
+    opened: Counter[str] = Counter()
     outside = inside = articles = 0
     link, kind = 0, ""
     at, end = 0, len(page)
@@ -178,6 +185,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bo
     def pop(i: int) -> None:
         nonlocal outside, inside, articles
         for element, o, n, w in stack[i:]:
+            opened[element] -= 1
             outside -= o
             inside -= n
             articles -= element == "article"
@@ -187,10 +195,10 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bo
 
     while at < end:
         m = TOKEN.match(page, at)
-        if m is None:  # an unfinished tag is the page's end
-            break
         at = m.end()
-        slash, name, attributes, text = m.group(1, 2, 3, 4)
+        slash, name, attributes, ending, text = m.group(1, 2, 3, 4, 5)
+        if name and not ending:  # a tag that nothing ends is the page's end
+            break
         if text is not None:
             if stack and stack[-1][0] == "head" and not text.isspace():
                 close()
@@ -208,7 +216,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bo
             close()
             link = 0
         if slash:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     pop(i)
                     break
@@ -246,6 +254,7 @@ def parsed(page: str) -> tuple[list[Block], list[tuple[int, ...]], list[tuple[bo
                 wrappers.append([n, False])
                 n = False
             stack.append((name, o, n, w))
+            opened[name] += 1
             outside += o
             inside += n
             articles += name == "article"
@@ -275,7 +284,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its main text, empty if there is none, and its code points.
 
     Null html counts as empty; null ids and urls are kept; repeated rows are done each; an empty table gives no
-    rows. Other columns aren't read.
+    rows. A tag that nothing ends is dropped with what it swallowed, as browsers do. Other columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
