@@ -181,7 +181,9 @@ class MotifSpec(Spec):
         if self.rev_complement:
             raise ValueError("the motif kernel has no reverse complements")
         for m in self.motifs:
-            motif_elements(m)
+            for e in motif_elements(m):
+                if not set(e) - set("[^].") <= set(self.letters.letters):
+                    raise ValueError(f"{e!r} in motif {m!r} isn't of the alphabet")
 
     def pattern(self, motif: str) -> str:
         """The motif as a regular expression over the alphabet."""

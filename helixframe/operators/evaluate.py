@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import before
+
 
 def confusion(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("prediction", "label").agg(F.count("*").alias("n"))
@@ -47,23 +49,32 @@ def multiclass_metrics(predictions: DataFrame) -> DataFrame:
 
 
 def roc_points(predictions: DataFrame, positive: str) -> DataFrame:
-    """(decision, tpr, fpr): rates of rows with at least that decision. Rows are counted by value before they are ordered, so the single ordered partition has one row a distinct value."""
+    """(decision, tpr, fpr): rates of rows with at least that decision. Rows are counted by value before they are put in order."""
     y = F.col("label") == positive
-    by_value = predictions.groupBy("decision").agg(F.sum(y.cast("int")).alias("p"), F.sum((~y).cast("int")).alias("n"))
+    by_value = predictions.groupBy("decision").agg(F.sum(y.cast("long")).alias("p"), F.sum((~y).cast("long")).alias("n"))
     total = by_value.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    w = Window.orderBy(F.desc("decision")).rowsBetween(Window.unboundedPreceding, 0)
-    return by_value.select("decision", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp")).crossJoin(F.broadcast(total)).select("decision", F.when(F.col("all_p") > 0, F.col("tp") / F.col("all_p")).alias("tpr"), F.when(F.col("all_n") > 0, F.col("fp") / F.col("all_n")).alias("fpr"))
+    rows = before(by_value, "decision", {"p_ahead": F.col("p"), "n_ahead": F.col("n")}, descending=True).crossJoin(F.broadcast(total))
+    return rows.select("decision", F.when(F.col("all_p") > 0, (F.col("p_ahead") + F.col("p")) / F.col("all_p")).alias("tpr"), F.when(F.col("all_n") > 0, (F.col("n_ahead") + F.col("n")) / F.col("all_n")).alias("fpr"))
 
 
 def auc(predictions: DataFrame, positive: str) -> DataFrame:
     """One row `auc`, ties counting half; null if a class is absent."""
     y = F.col("label") == positive
     by_value = predictions.groupBy("decision").agg(F.sum(y.cast("long")).alias("p"), F.sum((~y).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("decision").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = by_value.select("p", "n", (F.col("p") * (2 * below + F.col("n"))).alias("wins"))
+    rows = before(by_value, "decision", {"below": F.col("n")}).select("p", "n", (F.col("p") * (2 * F.col("below") + F.col("n"))).alias("wins"))
     both = F.sum("p") * F.sum("n")
     return rows.agg(F.when(both > 0, F.sum("wins") / (2 * both)).alias("auc"))
 
 
+def evaluate(predictions: DataFrame, positive: str | None = None, regression: bool = False) -> DataFrame:
+    """All measures of predictions (prediction, label[, decision]) in one row: mse of a regression; for two classes counts, rates and, with decisions, auc; else the measures over classes."""
+    if regression:
+        return mse(predictions)
+    if positive is None:
+        return multiclass_metrics(predictions)
+    out = binary_metrics(predictions, positive)
+    return out.crossJoin(F.broadcast(auc(predictions, positive))) if "decision" in predictions.columns else out
+
+
 def mse(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0))).alias("mse"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import GappySpec, MismatchSpec, Mixture, MotifSpec, Spec, motif_elements
 from .extract import neighbours, occurrences, windows
+from .ordering import before
 from .represent import quadratic_rep
 
 
@@ -67,20 +68,27 @@ def _significant(spec: Spec) -> list[tuple[str | None, list[int]]]:
     return [(None, list(range(spec.k)))]
 
 
-def profile(seqs: DataFrame, spec: Spec, weights: DataFrame) -> DataFrame:
+def profile(seqs: DataFrame, spec: Spec, weights: DataFrame, svm: str | None = None, limit: float = 0.0) -> DataFrame:
     """(seq_id, pos, contrib): every occurrence's weight, over the norm, in equal parts on the positions it matches.
 
     Gaps, dots and mismatched positions get nothing. Sums over a sequence give its decision without the offset. The
-    norm is that of the explicit representation of counts.
+    norm is that of the explicit representation of counts, or with weights (feature, pos, w) the root of the number
+    of occurrences. svm: the machine whose weights count, if they have several; limit: smaller weights don't count.
     """
+    if svm is not None:
+        weights = weights.where(F.col("svm") == svm)
+    if limit:
+        weights = weights.where(F.abs("w") >= limit)
+    positional = "pos" in weights.columns
     if isinstance(spec, MismatchSpec):
         rows = windows(seqs, spec, f"{spec.letters.char_class}{{{spec.k}}}", spec.k)
         near = rows.select("window").distinct().select("window", F.explode(neighbours(F.col("window"), spec)).alias("feature"))
         occ = rows.join(near, "window").select("seq_id", "pos", "feature", F.filter(F.sequence(F.lit(0), F.lit(spec.k - 1)), lambda i: F.substr("window", i + 1, F.lit(1)) == F.substr("feature", i + 1, F.lit(1))).alias("at"))
     else:
         occ = occurrences(seqs, spec).withColumn("at", _positions(spec))
-    norm = occ.groupBy("seq_id", "feature").agg(F.count("*").alias("n")).groupBy("seq_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm")) if spec.normalized else None
-    rows = occ.join(weights, "feature")
+    counted = occ.groupBy("seq_id").agg(F.sqrt(F.count("*").cast("double")).alias("norm")) if positional else occ.groupBy("seq_id", "feature").agg(F.count("*").alias("n")).groupBy("seq_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
+    norm = counted if spec.normalized else None
+    rows = occ.join(weights.select("feature", *(["pos"] if positional else []), "w"), ["feature", "pos"] if positional else "feature")
     if norm is not None:
         rows = rows.join(norm, "seq_id")
     part = F.col("w") / F.size("at") / (F.col("norm") if norm is not None else F.lit(1.0))
@@ -120,7 +128,24 @@ def smoothed(profiles: DataFrame, window: int) -> DataFrame:
     return profiles.select("seq_id", "pos", (F.sum("contrib").over(around) / F.nullif(F.count("*").over(around) - 1, F.lit(0))).alias("contrib"))
 
 
-def profile_order(profiles: DataFrame) -> DataFrame:
-    """(seq_id, total, rank): sequences by the sum of their profile, largest first."""
+def slice_profile(profiles: DataFrame, ids: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Profiles of the given sequences (column seq_id), between two positions."""
+    if ids is not None:
+        profiles = profiles.join(ids.select("seq_id").distinct(), "seq_id", "left_semi")
+    if first is not None:
+        profiles = profiles.where(F.col("pos") >= first)
+    return profiles.where(F.col("pos") <= last) if last is not None else profiles
+
+
+def profile_order(profiles: DataFrame, user: DataFrame | None = None, seed: int | None = None) -> DataFrame:
+    """(seq_id, total, rank): sequences by the sum of their profile, largest first; by a given column `place` (seq_id, place) or, with a seed, in random order."""
     totals = profiles.groupBy("seq_id").agg(F.round(F.sum("contrib"), 6).alias("total"))
-    return totals.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "seq_id")).cast("long"))
+    one = {"rank": F.lit(1).cast("long")}
+    if user is not None:
+        placed = totals.join(user.select("seq_id", F.col("place").cast("double").alias("place")), "seq_id")
+        out = before(placed, "place", one, ties=("seq_id",)).drop("place")
+    elif seed is not None:
+        out = before(totals.withColumn("place", F.xxhash64("seq_id", F.lit(seed)).cast("double")), "place", one, ties=("seq_id",)).drop("place")
+    else:
+        out = before(totals, "total", one, descending=True, ties=("seq_id",))
+    return out.select("seq_id", "total", (F.col("rank") + 1).cast("long").alias("rank"))

@@ -8,13 +8,14 @@ of a grouped map. Larger linear problems go to the distributed solver on explici
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_LIMIT = 5_000
@@ -73,14 +74,15 @@ def c_svc(k: np.ndarray, y: np.ndarray, c: float = 1.0, weights: np.ndarray | No
     return a * y, intercept(a, g, y, upper)
 
 
-def bounded_svc(k: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 2000) -> tuple[np.ndarray, float]:
+def bounded_svc(k: np.ndarray, y: np.ndarray, c: float | np.ndarray = 1.0, rounds: int = 2000) -> tuple[np.ndarray, float]:
     """Bound-constrained classification: the offset is part of the kernel, so coordinates are free of each other."""
     q = (k + 1) * np.outer(y, y)
+    upper = np.broadcast_to(c, len(y))
     a, g = np.zeros(len(y)), -np.ones(len(y))
     for _ in range(rounds):
         moved = 0.0
         for i in range(len(y)):
-            new = min(max(a[i] - g[i] / max(q[i, i], 1e-12), 0.0), c)
+            new = min(max(a[i] - g[i] / max(q[i, i], 1e-12), 0.0), upper[i])
             if (d := new - a[i]) != 0:
                 g += q[:, i] * d
                 a[i] = new
@@ -211,30 +213,104 @@ def crammer_singer(k: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, r
     return m
 
 
-def platt(decision: np.ndarray, positive: np.ndarray, rounds: int = 100) -> tuple[float, float]:
-    """A and B of 1 / (1 + exp(A d + B)) by Newton steps on smoothed targets."""
-    n1, n0 = positive.sum(), (~positive).sum()
-    t = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, b = 0.0, float(np.log((n0 + 1) / (n1 + 1)))
-    cost = lambda a, b: float((np.logaddexp(0, a * decision + b) - (1 - t) * (a * decision + b)).sum())
+def platt(decision: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
+    """(A, B) of 1 / (1 + exp(A d + B)), least in cross entropy to labels drawn towards the middle as a uniform prior does.
+
+    For a given slope the best offset is the root of a falling function; along these offsets the slope's derivative
+    rises. So both are found by halving intervals, on decisions brought to spread 1.
+    """
+    yes, no = int(positive.sum()), int((~positive).sum())
+    wanted = np.where(positive, (yes + 1) / (yes + 2), 1 / (no + 2))
+    middle, spread = float(decision.mean()), float(decision.std()) or 1.0
+    x = (decision - middle) / spread
+
+    def halved(f, low: float, high: float) -> float:
+        """The root of a rising function."""
+        while f(low) > 0:
+            low = 2 * low - high
+        while f(high) < 0:
+            high = 2 * high - low
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if f(mid) < 0 else (low, mid)
+        return (low + high) / 2
+
+    def chance(slope: float, offset: float) -> np.ndarray:
+        return 0.5 * (1 + np.tanh((slope * x + offset) / 2))
+
+    def offset_for(slope: float) -> float:
+        return halved(lambda o: float((chance(slope, o) - wanted).sum()), -1.0, 1.0)
+
+    slope = halved(lambda s: float((x * (chance(s, offset_for(s)) - wanted)).sum()), -1.0, 1.0) if decision.std() else 0.0
+    return -slope / spread, slope * middle / spread - offset_for(slope)
+
+
+def eps_bsvr(k: np.ndarray, t: np.ndarray, c: float = 1.0, eps: float = 0.1, rounds: int = 2000) -> tuple[np.ndarray, float]:
+    """Regression with a tube and the offset in the kernel: coordinates are free of each other, each has a closed step."""
+    q, beta = k + 1, np.zeros(len(t))
+    f = np.zeros(len(t))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(a * decision + b))
-        d1, d2 = t - p, p * (1 - p)
-        g = np.array([(decision * d1).sum(), d1.sum()])
-        h = np.array([[(decision * decision * d2).sum() + 1e-12, (decision * d2).sum()], [(decision * d2).sum(), d2.sum() + 1e-12]])
-        if np.abs(g).max() < 1e-6:
+        moved = 0.0
+        for i in range(len(t)):
+            curve = max(q[i, i], 1e-12)
+            pull = t[i] - f[i] + curve * beta[i]
+            new = float(np.clip(np.sign(pull) * max(abs(pull) - eps, 0) / curve, -c, c))
+            if new != beta[i]:
+                f += q[:, i] * (new - beta[i])
+                moved = max(moved, abs(new - beta[i]))
+                beta[i] = new
+        if moved < 1e-6:
             break
-        step, s = np.linalg.solve(h, g), 1.0
-        while s > 1e-10 and cost(a - s * step[0], b - s * step[1]) > cost(a, b) - 1e-4 * s * (g @ step):
-            s /= 2
-        a, b = a - s * step[0], b - s * step[1]
-    return a, b
+    return beta, float(beta.sum())
+
+
+def nu_svr(k: np.ndarray, t: np.ndarray, c: float = 1.0, nu: float = 0.5) -> tuple[np.ndarray, float]:
+    """Regression whose tube is as wide as lets the coefficients sum to c nu n: the sum falls as the tube widens, so its width is found by halving."""
+    low, high = 0.0, float(t.max() - t.min()) / 2
+    goal = c * nu * len(t)
+    out = eps_svr(k, t, c, low)
+    if np.abs(out[0]).sum() > goal:
+        for _ in range(30):
+            eps = (low + high) / 2
+            out = eps_svr(k, t, c, eps)
+            low, high = (eps, high) if np.abs(out[0]).sum() > goal else (low, eps)
+    return out
+
+
+def weston_watkins(k: np.ndarray, y: np.ndarray, classes: int, c: float = 1.0, rounds: int = 500) -> np.ndarray:
+    """Native multiclass with a slack for every sample and other class: (samples, classes) coefficients; the offset is in the kernel, the margin between two classes' decisions 2."""
+    q, a = k + 1, np.zeros((len(y), classes))
+    m = np.zeros((len(y), classes))
+    f = np.zeros((len(y), classes))
+    for _ in range(rounds):
+        moved = 0.0
+        for i in range(len(y)):
+            for other in range(classes):
+                if other == y[i]:
+                    continue
+                new = float(np.clip(a[i, other] + (2 - f[i, y[i]] + f[i, other]) / (2 * max(q[i, i], 1e-12)), 0, c))
+                d = new - a[i, other]
+                if d:
+                    a[i, other] = new
+                    m[i, y[i]] += d
+                    m[i, other] -= d
+                    f[:, y[i]] += q[:, i] * d
+                    f[:, other] -= q[:, i] * d
+                    moved = max(moved, abs(d))
+        if moved < 1e-5:
+            break
+    return m
 
 
 # --- models ------------------------------------------------------------------------------------------------------
 
 #: Names of machines that fit() takes. The l2rl2l and l1rl2l ones work on features, the others on kernels.
-MACHINES = ("C-svc", "C-bsvc", "nu-svc", "one-svc", "eps-svr", "mc-natC", "l2rl2l-svc", "l2rl2lp-svc", "l1rl2l-svc")
+MACHINES = ("C-svc", "C-bsvc", "nu-svc", "one-svc", "eps-svr", "nu-svr", "eps-bsvr", "mc-natC", "mc-natW", "l2rl2l-svc", "l2rl2lp-svc", "l1rl2l-svc")
+REGRESSIONS = ("eps-svr", "nu-svr", "eps-bsvr")
+#: Machines that take a cost of its own for every class.
+WEIGHTED = ("C-svc", "C-bsvc")
+#: A model as a table: one row of kind `model` (text holds the rest as JSON), the others a machine's coefficients by sample or feature place.
+MODEL_ROWS = "kind string, machine string, id long, value double, text string"
 
 
 @dataclass
@@ -260,7 +336,7 @@ class Model:
         if len(self.classes) == 2:
             positive, negative = self.classes
             return np.where(next(iter(d.values())) >= 0, positive, negative)
-        if self.svm == "mc-natC" or self.weights:
+        if self.svm in ("mc-natC", "mc-natW") or self.weights:
             return np.array(self.classes)[np.stack([d[str(c)] for c in self.classes], axis=1).argmax(axis=1)]
         votes = np.zeros((len(k), len(self.classes)))
         for m, v in d.items():
@@ -276,6 +352,38 @@ class Model:
         c = self.coefficients[m or next(iter(self.coefficients))]
         return self.ids[np.abs(c) > 1e-9]
 
+    def rows(self) -> list[tuple]:
+        """The model as rows of MODEL_ROWS."""
+        rest = {"svm": self.svm, "classes": self.classes, "offsets": self.offsets, "platt": self.platt, "pairs": {m: list(p) for m, p in self._pairs.items()}, "ids": [int(i) for i in self.ids]}
+        plain = lambda x: x.item() if hasattr(x, "item") else str(x)
+        out = [("model", None, None, None, json.dumps(rest, default=plain))]
+        out += [("coefficient", m, int(i), float(c), None) for m, v in self.coefficients.items() for i, c in zip(self.ids, v, strict=True)]
+        return out + [("weight", m, i, float(c), None) for m, v in self.weights.items() for i, c in enumerate(v)]
+
+    @staticmethod
+    def of_rows(rows: Iterable) -> Model:
+        """Back from rows()."""
+        rows = list(rows)
+        rest = json.loads(next(r[4] for r in rows if r[0] == "model"))
+        model = Model(rest["svm"], rest["classes"], np.array(rest["ids"], np.int64), offsets=rest["offsets"], platt=tuple(rest["platt"]) if rest["platt"] else None)
+        model._pairs = {m: tuple(p) for m, p in rest["pairs"].items()}
+        place = {i: n for n, i in enumerate(rest["ids"])}
+        for kind, machine, i, value, _ in rows:
+            if kind == "coefficient":
+                model.coefficients.setdefault(machine, np.zeros(len(place)))[place[i]] = value
+            elif kind == "weight":
+                model.weights.setdefault(machine, {})[i] = value
+        model.weights = {m: np.array([v[i] for i in range(len(v))]) for m, v in model.weights.items()}
+        return model
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the model as a Parquet table of MODEL_ROWS."""
+        spark.createDataFrame(self.rows(), MODEL_ROWS).coalesce(1).write.parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        return Model.of_rows(spark.read.parquet(path).collect())
+
     def coefficient_rows(self) -> list[tuple[str, int, float]]:
         """(svm, seq_id, coef) of the support vectors, for feature_weights()."""
         return [(m, int(i), float(c)) for m, v in self.coefficients.items() for i, c in zip(self.ids, v, strict=True) if abs(c) > 1e-9]
@@ -289,8 +397,11 @@ def fit(k: np.ndarray, y: Sequence, svm: str = "C-svc", c: float = 1.0, nu: floa
     if len(k) > SAMPLE_LIMIT:
         raise ValueError("too many samples for one task; use fit_linear_large")
     y = np.asarray(y)
-    if svm == "eps-svr":
-        a, b = eps_svr(k, y.astype(float), c, eps)
+    if class_weights and svm not in WEIGHTED:
+        raise ValueError(f"{svm} has no class weights")
+    if svm in REGRESSIONS:
+        t = y.astype(float)
+        a, b = eps_svr(k, t, c, eps) if svm == "eps-svr" else nu_svr(k, t, c, nu) if svm == "nu-svr" else eps_bsvr(k, t, c, eps)
         return Model(svm, [], ids, {"svr": a}, {"svr": b})
     if svm == "one-svc":
         a, b = one_svc(k, nu)
@@ -298,9 +409,10 @@ def fit(k: np.ndarray, y: Sequence, svm: str = "C-svc", c: float = 1.0, nu: floa
     classes = sorted(set(y.tolist()), reverse=True)
     model = Model(svm, classes, ids)
     cost = np.array([(class_weights or {}).get(v, 1.0) for v in y.tolist()])
-    if svm == "mc-natC":
-        m = crammer_singer(k, np.array([classes.index(v) for v in y.tolist()]), len(classes), c)
-        model.coefficients, model.offsets = {str(v): m[:, i] for i, v in enumerate(classes)}, {str(v): 0.0 for v in classes}
+    if svm in ("mc-natC", "mc-natW"):
+        m = (crammer_singer if svm == "mc-natC" else weston_watkins)(k, np.array([classes.index(v) for v in y.tolist()]), len(classes), c)
+        model.coefficients = {str(v): m[:, i] for i, v in enumerate(classes)}
+        model.offsets = {str(v): float(m[:, i].sum()) if svm == "mc-natW" else 0.0 for i, v in enumerate(classes)}
         return model
     if svm in ("l2rl2l-svc", "l2rl2lp-svc", "l1rl2l-svc"):
         for v in classes[:1] if len(classes) == 2 else classes:
@@ -311,7 +423,7 @@ def fit(k: np.ndarray, y: Sequence, svm: str = "C-svc", c: float = 1.0, nu: floa
         for q in classes[i + 1 :]:
             rows = np.flatnonzero((y == p) | (y == q))
             s, kk = np.where(y[rows] == p, 1.0, -1.0), k[np.ix_(rows, rows)]
-            a, b = c_svc(kk, s, c, cost[rows]) if svm == "C-svc" else bounded_svc(kk, s, c) if svm == "C-bsvc" else nu_svc(kk, s, nu)
+            a, b = c_svc(kk, s, c, cost[rows]) if svm == "C-svc" else bounded_svc(kk, s, c * cost[rows]) if svm == "C-bsvc" else nu_svc(kk, s, nu)
             full = np.zeros(len(y))
             full[rows] = a
             name = f"{p}/{q}"
@@ -332,7 +444,7 @@ def dual_gap(k: np.ndarray, y: np.ndarray, coefficients: np.ndarray, b: float, c
 
 
 def folds(samples: DataFrame, k: int, repeats: int = 1, seed: int = 1, group: str | None = None) -> DataFrame:
-    """(seq_id, run, fold): k nearly even folds for every run, or leave-one-out with k = -1. A group never spans folds. Numbers come from a hash of the id, so reruns agree."""
+    """(seq_id, run, fold): k nearly even folds for every run, or leave-one-out with k = -1. A group never spans folds. Numbers come from a hash of the id or group, of any type, so reruns agree."""
     if k == 0 or k == 1 or k < -1:
         raise ValueError("the number of folds is 2 or more, or -1")
     if k == -1:
@@ -341,7 +453,8 @@ def folds(samples: DataFrame, k: int, repeats: int = 1, seed: int = 1, group: st
         return samples.select("seq_id", F.lit(0).alias("run"), F.col("seq_id").alias("fold"))
     key = group or "seq_id"
     runs = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("run"))
-    numbered = runs.withColumn("fold", F.pmod((F.col(key) * 7919 + F.col("run") * 104729 + seed) % 1000003, F.lit(k)).cast("long"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("run").cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long")
+    numbered = runs.withColumn("fold", F.pmod(hashed, F.lit(k)).cast("long"))
     return samples.select("seq_id", *([group] if group else [])).join(numbered, key).select("seq_id", "run", "fold")
 
 
@@ -354,46 +467,65 @@ def gram(matrix: pd.DataFrame, rows: np.ndarray, cols: np.ndarray) -> np.ndarray
     return out
 
 
-def score(y: np.ndarray, p: np.ndarray, regression: bool) -> dict[str, float]:
+#: What cross validation measures; a regression has the error alone.
+MEASURES = ("error", "acc", "bacc", "mcc", "auc")
+
+
+def score(y: np.ndarray, p: np.ndarray, regression: bool, decision: np.ndarray | None = None, positive=None) -> dict[str, float | None]:
+    """Measures of predictions; mcc from the confusion matrix of any number of classes, auc from two classes' decisions, ties counting half."""
+    out: dict[str, float | None] = dict.fromkeys(MEASURES)
     if regression:
-        return {"error": float(((p.astype(float) - y.astype(float)) ** 2).mean()), "acc": None, "bacc": None}
-    return {"error": float((y != p).mean()), "acc": float((y == p).mean()), "bacc": float(np.mean([(p[y == c] == c).mean() for c in np.unique(y)]))}
+        return out | {"error": float(((p.astype(float) - y.astype(float)) ** 2).mean())}
+    classes = np.unique(np.concatenate([y, p]))
+    t, g = np.array([(y == c).sum() for c in classes], float), np.array([(p == c).sum() for c in classes], float)
+    n, hit = len(y), float((y == p).sum())
+    root = np.sqrt((n * n - g @ g) * (n * n - t @ t))
+    out |= {"error": 1 - hit / n, "acc": hit / n, "bacc": float(np.mean([(p[y == c] == c).mean() for c in np.unique(y)])), "mcc": float((hit * n - t @ g) / root) if root else 0.0}
+    if decision is not None and 0 < (y == positive).sum() < n:
+        above = decision[y == positive][:, None] - decision[y != positive][None, :]
+        out["auc"] = float(((above > 0) + 0.5 * (above == 0)).mean())
+    return out
 
 
 def cross_validate(matrix: DataFrame, labels: DataFrame, assigned: DataFrame, grid: list[dict]) -> DataFrame:
-    """(kernel, cell, run, fold, error, acc, bacc, n_sv): every cell of a grid on every fold, each a task of its own.
+    """(kernel, cell, run, fold, error, acc, bacc, mcc, auc, n_sv): every cell of a grid on every fold.
 
-    matrix: (kernel, x_id, y_id, v); grid: parameters of fit(), by position. A task holds one kernel matrix, at most
-    SAMPLE_LIMIT squared cells; matrix and labels are joined per group, not collected on the driver.
+    matrix: (kernel, x_id, y_id, v), of kernels or of products of representations; grid: parameters of fit(), by
+    position. A (kernel, run, fold) is a task of its own that goes through the grid: it holds one kernel matrix, at most
+    SAMPLE_LIMIT squared cells. Matrix and labels are joined per group, not collected on the driver.
     """
-    spark = matrix.sparkSession
-    cells = spark.createDataFrame([(i,) for i in range(len(grid))], "cell int")
-    tasks = assigned.select("run", "fold").distinct().crossJoin(F.broadcast(cells))
+    tasks = assigned.select("run", "fold").distinct()
     jobs = matrix.crossJoin(F.broadcast(tasks))
     info = assigned.join(labels, "seq_id").select(F.col("run").alias("r"), F.col("fold").alias("held"), "seq_id", F.col("y").cast("string").alias("y"))
     sides = tasks.crossJoin(F.broadcast(matrix.select("kernel").distinct())).join(info, F.col("run") == F.col("r"))
     # The two sides share ancestors; renamed columns tell them apart.
-    sides = sides.select(*(F.col(c).alias(f"_{c}") for c in ("kernel", "cell", "run", "fold")), "held", "seq_id", "y")
-    regression = dict(labels.dtypes)["y"] in ("double", "float") and any(g.get("svm") == "eps-svr" for g in grid)
+    sides = sides.select(*(F.col(c).alias(f"_{c}") for c in ("kernel", "run", "fold")), "held", "seq_id", "y")
+    regression = dict(labels.dtypes)["y"] in ("double", "float") and any(g.get("svm") in REGRESSIONS for g in grid)
+    columns = ["kernel", "cell", "run", "fold", *MEASURES, "n_sv"]
 
     def run(key: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        kernel, cell, number, fold = key
+        kernel, number, fold = key
         held = rows["held"].to_numpy() == fold
         y = rows["y"].astype(float).to_numpy() if regression else rows["y"].to_numpy()
         ids = rows["seq_id"].to_numpy()
         if held.all() or not held.any() or (not regression and len(set(y[~held])) < 2):
-            return pd.DataFrame([], columns=["kernel", "cell", "run", "fold", "error", "acc", "bacc", "n_sv"])
-        k = gram(cells, ids, ids)
-        model = fit(k[np.ix_(~held, ~held)], y[~held], ids=ids[~held], **grid[cell])
-        s = score(y[held], model.predict(k[np.ix_(held, ~held)]), regression)
-        return pd.DataFrame([(kernel, cell, number, fold, s["error"], s["acc"], s["bacc"], len(model.support()) if model.coefficients else 0)], columns=["kernel", "cell", "run", "fold", "error", "acc", "bacc", "n_sv"])
+            return pd.DataFrame([], columns=columns)
+        k, out = gram(cells, ids, ids), []
+        new = k[np.ix_(held, ~held)]
+        for cell, parameters in enumerate(grid):
+            model = fit(k[np.ix_(~held, ~held)], y[~held], ids=ids[~held], **parameters)
+            two = len(model.classes) == 2
+            s = score(y[held], model.predict(new), regression, next(iter(model.decisions(new).values())) if two else None, model.classes[0] if two else None)
+            out.append((kernel, cell, number, fold, *(s[m] for m in MEASURES), len(model.support()) if model.coefficients else 0))
+        return pd.DataFrame(out, columns=columns)
 
-    keys = ["kernel", "cell", "run", "fold"]
-    return jobs.groupBy(*keys).cogroup(sides.groupBy(*(f"_{k}" for k in keys))).applyInPandas(run, "kernel string, cell int, run int, fold long, error double, acc double, bacc double, n_sv long")
+    keys = ["kernel", "run", "fold"]
+    measures = ", ".join(f"{m} double" for m in MEASURES)
+    return jobs.groupBy(*keys).cogroup(sides.groupBy(*(f"_{k}" for k in keys))).applyInPandas(run, f"kernel string, cell int, run int, fold long, {measures}, n_sv long")
 
 
 def grid_search(cells: DataFrame, objective: str = "acc") -> DataFrame:
-    """One row, the best (kernel, cell): least mean error for acc, else the largest mean; the first wins ties."""
+    """One row, the best (kernel, cell): least mean error for acc, else the largest mean of bacc, mcc or auc; the first wins ties."""
     mean = cells.groupBy("kernel", "cell").agg(F.round(F.avg("error"), 9).alias("error"), F.round(F.avg(objective), 9).alias("score"))
     order = [F.asc("error")] if objective == "acc" else [F.desc("score")]
     return mean.orderBy(*order, "kernel", "cell").limit(1)

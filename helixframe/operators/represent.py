@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import GappySpec, MismatchSpec, Mixture, MotifSpec, Spec
 from .extract import counts
+from .ordering import numbered
 
 #: Features that zero_features() spells out at most.
 DIMENSION_LIMIT = 1_000_000
@@ -63,7 +64,7 @@ def zero_features(rep: DataFrame, seqs: DataFrame, spec: Spec) -> DataFrame:
 
 def feature_index(rep: DataFrame) -> DataFrame:
     """(feature, feature_ix): used features, numbered from 1 in order."""
-    return rep.select("feature").distinct().withColumn("feature_ix", F.row_number().over(Window.orderBy("feature")).cast("long"))
+    return numbered(rep.select("feature").distinct(), "feature", "feature_ix")
 
 
 def quadratic_rep(rep: DataFrame) -> DataFrame:
@@ -94,6 +95,12 @@ def times_vector(rep: DataFrame, weights: DataFrame) -> DataFrame:
     return rep.join(weights, "feature").groupBy("seq_id").agg(F.sum(F.col("v") * F.col("w")).alias("y"))
 
 
+def times_matrix(rep: DataFrame, other: DataFrame) -> DataFrame:
+    """(row, col, v): the representation times a sparse matrix (feature, col, v); cells without a common feature are left out."""
+    joined = rep.select("seq_id", "feature", F.col("v").alias("a")).join(other.select("feature", "col", F.col("v").alias("b")), "feature")
+    return joined.groupBy(F.col("seq_id").alias("row"), "col").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+
+
 def dense(rep: DataFrame, features: list[str]) -> DataFrame:
     """One column a feature, for few named features."""
     return rep.groupBy("seq_id").pivot("feature", features).agg(F.first("v")).na.fill(0.0)

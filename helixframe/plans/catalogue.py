@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import GappySpec, MismatchSpec, Mixture, MotifSpec, PairSpec, SpectrumSpec, exp_weight, gauss_weight, lin_weight, swd_weight
-from ..operators import evaluate, explain, extract, learn, matrices, represent
+from ..operators import evaluate, explain, extract, learn, matrices, represent, train
+from ..sources import report
 from ..sources import sequences as src
 from ..sources.tables import table
 from . import oracles as sql
+from . import planner
 from .fixtures import derived, derived_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +104,8 @@ add("er_quadratic", lambda s, d: rounded(represent.quadratic_rep(represent.expli
 add("er_single_features", lambda s, d: represent.single_features(represent.quadratic_rep(represent.explicit_rep(docs("dna")(s, d), SpectrumSpec(k=2)))), sql.with_(D_DNA, ("c", sql.counts("s", SpectrumSpec(k=2)))) + "SELECT DISTINCT feature FROM c")
 add("er_feature_index", lambda s, d: represent.feature_index(er3(s, d)), sql.with_(*E3) + "SELECT feature, CAST(row_number() OVER (ORDER BY feature) AS BIGINT) AS feature_ix FROM (SELECT DISTINCT feature FROM e)")
 add("er_dense_roundtrip", lambda s, d: rounded(represent.sparse(represent.dense(er3(s, d), list(GIVEN))), "v"), sql.with_(*E3) + f"SELECT seq_id, feature, round(v, 6) AS v FROM e WHERE feature IN {GIVEN}")
+add("er_slice", lambda s, d: rounded(represent.select_rows(er3(s, d), table(s, d, "labels").select(F.col("doc_id").alias("seq_id")), s.createDataFrame([(f,) for f in GIVEN], "feature string")).select("seq_id", "feature", "v"), "v"), sql.with_(*E3) + f"SELECT seq_id, feature, round(v, 6) AS v FROM e WHERE seq_id IN (SELECT doc_id FROM labels) AND feature IN {GIVEN}")
+add("er_times_matrix", lambda s, d: rounded(represent.times_matrix(er3(s, d), er3(s, d).select("feature").distinct().select("feature", F.substring("feature", 1, 1).alias("col"), F.lit(2.0).alias("v"))).select(F.col("row").alias("seq_id"), "col", "v"), "v"), sql.with_(*E3) + "SELECT seq_id, substr(feature, 1, 1) AS col, round(sum(2 * v), 6) AS v FROM e GROUP BY 1, 2")
 add("er_transpose", lambda s, d: rounded(represent.transposed(er3(s, d)), "v"), sql.with_(*E3) + 'SELECT feature AS "row", seq_id AS col, round(v, 6) AS v FROM e')
 add("er_transpose_matvec", lambda s, d: rounded(represent.times_vector(er3(s, d), er3(s, d).groupBy("feature").agg(F.count("*").cast("double").alias("w"))), "y"), sql.with_(*E3, ("w", "SELECT feature, CAST(count(*) AS DOUBLE) AS w FROM e GROUP BY feature")) + "SELECT seq_id, round(sum(v * w), 6) AS y FROM e JOIN w USING (feature) GROUP BY seq_id")
 add("feature_space_dim", lambda s, d: s.createDataFrame([(n, x.dimension(7)) for n, x in DIMENSIONS.items()], "kernel string, dimension long"), "SELECT * FROM (VALUES ('spectrum_aa5', CAST(21 ^ 5 AS BIGINT)), ('gappy_k1m2', CAST(3 * 4 ^ 2 AS BIGINT)), ('motif', CAST(5 AS BIGINT)), ('spectrum_k2_annotated', CAST(4 ^ 2 * 7 ^ 2 AS BIGINT))) AS t(kernel, dimension)")
@@ -264,9 +269,16 @@ def profile3(s: SparkSession, d: str) -> DataFrame:
     return rounded(explain.profile(bench("dna")(s, d), SpectrumSpec(k=3), unit_weights(s, d, SpectrumSpec(k=3))), "contrib")
 
 
-add("profile_mixture", lambda s, d: rounded(explain.mixture_profile(bench("dna")(s, d), Mixture(((0.6, SpectrumSpec(k=3)), (0.4, GappySpec(k=1, m=2)))), [unit_weights(s, d, SpectrumSpec(k=3)), unit_weights(s, d, GappySpec(k=1, m=2))]), "contrib"))
+def unrounded_profile(name: str) -> str:
+    return ORACLES[name].replace("round(sum(part), 6) AS contrib", "sum(part) AS contrib")
+
+
+MIXED = f"SELECT seq_id, pos, round(sum(contrib), 6) + 0.0 AS contrib FROM (SELECT seq_id, pos, 0.6 * contrib AS contrib FROM ({unrounded_profile('profile_spectrum')}) UNION ALL SELECT seq_id, pos, 0.4 * contrib FROM ({unrounded_profile('profile_gappy')})) GROUP BY 1, 2"
+add("profile_mixture", lambda s, d: rounded(explain.mixture_profile(bench("dna")(s, d), Mixture(((0.6, SpectrumSpec(k=3)), (0.4, GappySpec(k=1, m=2)))), [unit_weights(s, d, SpectrumSpec(k=3)), unit_weights(s, d, GappySpec(k=1, m=2))]), "contrib"), MIXED)
 add("profile_smoothed", lambda s, d: rounded_to(explain.smoothed(profile3(s, d), 5), 4), f"SELECT seq_id, pos, round(sum(contrib) OVER w / nullif(count(*) OVER w - 1, 0) + 1e-9, 4) AS contrib FROM ({PROFILE}) WINDOW w AS (PARTITION BY seq_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
 add("profile_row_order", lambda s, d: explain.profile_order(profile3(s, d)), f"SELECT seq_id, total, CAST(row_number() OVER (ORDER BY total DESC, seq_id) AS BIGINT) AS rank FROM (SELECT seq_id, round(sum(contrib), 6) AS total FROM ({PROFILE}) GROUP BY seq_id)")
+add("profile_row_order_user", lambda s, d: explain.profile_order(profile3(s, d), user=bench("dna")(s, d).select("seq_id", (F.col("seq_id") % 7).alias("place"))), f"SELECT seq_id, total, CAST(row_number() OVER (ORDER BY seq_id % 7, seq_id) AS BIGINT) AS rank FROM (SELECT seq_id, round(sum(contrib), 6) AS total FROM ({PROFILE}) GROUP BY 1)")
+add("profile_slice", lambda s, d: explain.slice_profile(profile3(s, d), table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("seq_id")), 10, 40), f"SELECT * FROM ({PROFILE}) WHERE seq_id IN (SELECT n_nationkey FROM nation) AND pos BETWEEN 10 AND 40")
 add("profile_baseline", lambda s, d: rounded(explain.baselines(docs("dna")(s, d), OFFSET), "baseline"), sql.with_(D_DNA) + f"SELECT seq_id, round(-{OFFSET} / length(seq), 6) + 0.0 AS baseline FROM s")
 
 # --- evaluation ----------------------------------------------------------------------------------------------------
@@ -302,7 +314,7 @@ def labelled(s: SparkSession, d: str) -> DataFrame:
 
 
 def fold_sql(key: str) -> str:
-    return f"SELECT doc_id AS seq_id, CAST(run AS INT) AS run, CAST(({key} * 7919 + run * 104729 + 1) % 1000003 % 5 AS BIGINT) AS fold FROM labels, range(0, 2) AS t(run)"
+    return f"SELECT doc_id AS seq_id, CAST(run AS INT) AS run, ('0x' || substr(md5(concat_ws('|', {key}, run, 1)), 1, 8))::BIGINT % 5 AS fold FROM labels, range(0, 2) AS t(run)"
 
 
 add("cv_folds_plain", lambda s, d: learn.folds(labelled(s, d), 5, 2), fold_sql("doc_id"))
@@ -348,6 +360,29 @@ def nested_cv(s: SparkSession, d: str) -> DataFrame:
 add("nested_cv", nested_cv)
 
 
+def stored_decisions(s: SparkSession, d: str) -> DataFrame:
+    """Decisions of the benchmark passages from stored coefficients and their kernel."""
+    b = bench("dna")(s, d)
+    given = {r["seq_id"]: r["coef"] for r in coefficients(b).collect()}
+    model = learn.Model("C-svc", ["b", "a"], np.array(list(given)), {"b/a": np.array(list(given.values()))}, {"b/a": OFFSET})
+    return train.decisions(train.Trained(SpectrumSpec(k=3), planner.choose_method(SpectrumSpec(k=3), len(given), "no"), model, b), b)
+
+
+add("predict_stored_model", lambda s, d: rounded(stored_decisions(s, d), "decision"), sql.with_(*K3) + f", q AS ({COEF}) SELECT x_id AS seq_id, 'b/a' AS svm, round(sum(v * coef) + {OFFSET}, 6) + 0.0 AS decision FROM k JOIN q ON q.seq_id = y_id GROUP BY x_id")
+
+
+def train_predict(s: SparkSession, d: str) -> DataFrame:
+    """Classes of all documents by a machine trained on the labelled ones."""
+    seqs = docs("dna")(s, d)
+    trained = train.train(seqs, table(s, d, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").cast("string").alias("y")), SpectrumSpec(k=2))
+    return train.predict(trained, seqs)
+
+
+add("train_predict", train_predict)
+add("session_report", lambda s, d: report.session_report(s))
+add("seq_shown", lambda s, d: report.shown(docs("aa")(s, d)).select("seq_id", "width", "view"), sql.with_(S_AA) + "SELECT seq_id, CAST(length(seq) AS BIGINT) AS width, CASE WHEN length(seq) > 40 THEN substr(seq, 1, 18) || '...' || right(seq, 18) ELSE seq END AS view FROM s")
+
+
 def svm_linear_fit(s: SparkSession, d: str) -> DataFrame:
     rep = represent.explicit_rep(docs("dna")(s, d), SpectrumSpec(k=2))
     weights, offset = learn.fit_linear_large(rep, table(s, d, "labels").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("y")))

@@ -32,11 +32,11 @@ def from_table(df: DataFrame, seq_id: str, seq: Column | str, name: str | None =
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Records of FASTA files; the id is a hash of the name and sequence, so that no global numbering is needed."""
+    """Records of FASTA files; the id is a hash of the name and sequence, and of the turn among equal records, so that no global numbering is needed."""
     records = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     name = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
-    return records.select(name.alias("name"), seq.alias("seq")).select(F.xxhash64("name", "seq").alias("seq_id"), "name", "seq", F.lit(None).cast("string").alias("annotation"), F.lit(None).cast("int").alias("offset"))
+    return records.select(name.alias("name"), seq.alias("seq")).withColumn("turn", F.row_number().over(Window.partitionBy("name", "seq").orderBy(F.lit(1)))).select(F.xxhash64("name", "seq", "turn").alias("seq_id"), "name", "seq", F.lit(None).cast("string").alias("annotation"), F.lit(None).cast("int").alias("offset"))
 
 
 def random_sequences(spark: SparkSession, kind: str, number: int, length: int, seed: int = 1) -> DataFrame:
