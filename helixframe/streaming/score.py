@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import SpectrumSpec
@@ -27,9 +27,14 @@ def score_stream(seqs: DataFrame, spec: SpectrumSpec, weights: dict[str, float],
         found = F.transform(found, lambda w: canonical(w, spec))
     table = F.create_map(*(F.lit(x) for item in sorted(weights.items()) for x in item)) if weights else F.create_map().cast("map<string,double>")
     rows = seqs.withColumn("_w", F.array_sort(found))
-    distinct = F.array_distinct("_w")
-    count = lambda f: F.lit(1.0) if spec.presence else F.size(F.filter("_w", lambda w: w == f)).cast("double")
-    rows = rows.withColumn("_c", F.transform(distinct, lambda f: F.struct(count(f).alias("n"), F.coalesce(F.try_element_at(table, f), F.lit(0.0)).alias("x"))))
-    total = F.aggregate("_c", F.lit(0.0), lambda s, c: s + c["n"] * c["x"])
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, c: s + c["n"] * c["n"])) if spec.normalized else F.lit(1.0)
-    return rows.withColumn("decision", F.when(F.size("_c") > 0, total / norm).otherwise(0.0) + offset).drop("_w", "_c")
+    each, one = F.array_distinct("_w") if spec.presence else F.col("_w"), F.lit(1).cast("long")
+    total = F.aggregate(each, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+
+    def run(s: Column, w: Column) -> Column:
+        """Squares of counts, from the runs of equal windows in order."""
+        same = s["last"] == w
+        return F.struct(w.alias("last"), F.when(same, s["n"] + 1).otherwise(one).alias("n"), (s["squares"] + F.when(same, 2 * s["n"] + 1).otherwise(one)).alias("squares"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("squares"))
+    norm = F.sqrt(F.aggregate(each, start, run, lambda s: s["squares"]).cast("double")) if spec.normalized else F.lit(1.0)
+    return rows.withColumn("decision", F.when(F.size("_w") > 0, total / norm).otherwise(0.0) + offset).drop("_w")
