@@ -17,24 +17,46 @@ from pyspark.sql import functions as F
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: n-gram lengths and the size of the hashed weight table.
 GRAMS = (3, 4)
-BUCKETS = 2048
-
-#: Small labelled table: words of hosts and paths to block and to allow; training URLs are their combinations.
-BLOCKED = ("casino", "casino-win", "poker", "free-bets", "betting", "bets", "cheap-pills", "pills", "viagra", "pharma-deal", "spam", "spam-farm", "adult", "adult-x", "xxx", "porn", "sex-cam", "escort", "ads-track", "adserver", "tracker", "click-bait", "free-money", "fast-loan", "payday", "crypto-win", "lottery", "jackpot", "warez", "crack-keygen", "malware", "phishing", "replica-watch", "link-farm")
-ALLOWED = ("news", "library", "science", "weather", "garden", "recipes", "history", "travel", "museum", "school", "university", "health", "sports", "music", "forum", "docs", "support", "community", "research", "journal", "city", "family", "photo", "theatre", "therapist", "anderson", "another", "theory", "nation", "station", "western", "eastern", "reading", "painting", "worth", "leather")
+BUCKETS = 8192
+LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+#: Small labelled table, by families: words of hosts and paths to block and to allow. Words of a family share their stem and are held out together.
+BLOCKED = (
+    "casino casino-win online-casino casinos", "poker poker-room holdem-poker", "free-bets betting bets bet-now sports-betting", "gambling gamble gamblers-den", "roulette free-roulette", "blackjack blackjack-21", "online-slots slots slot-machine", "jackpot jackpots mega-jackpot",
+    "lottery lotto lottery-win", "cheap-pills pills diet-pills", "viagra cheap-viagra", "pharma-deal pharmacy-cheap", "replica-watch replica-bags", "spam spam-farm", "link-farm backlinks", "adult adult-x adult-video", "xxx xxx-tube", "porn pornhub-mirror free-porn", "sex-cam sexy-chat sex",
+    "escort escorts", "hot-dating hot-singles dating-tonight", "webcam-girls cam-girls", "ads-track adserver popads ads", "tracker track-click", "click-bait clickbank", "free-money easy-money money-fast", "fast-loan loans-now quick-loan", "payday payday-cash", "crypto-win bitcoin-doubler crypto",
+    "warez warez-zone", "crack-keygen cracked-apps keygen", "torrent-movies torrents", "malware trojan-kit", "phishing verify-account", "free-iphone win-iphone prize-winner", "work-from-home get-rich",
+)
+ALLOWED = (
+    "news newspaper newsroom", "library libraries", "science sciences", "weather forecast", "garden gardening", "recipes recipe cooking", "crackers-recipe crackers", "history historian", "travel traveller", "museum museums", "school schools", "university universities", "health healthcare", "sports sporting",
+    "music musician", "forum forums", "docs documents", "support supporters", "community communities", "research researcher", "journal journals", "city cities", "family families", "photo photography", "theatre theatres", "therapist therapy", "anderson sanderson", "another mother", "theory theories", "nation national", "station stations",
+    "western western-city", "eastern", "reading readers", "painting painters", "worth wordsworth", "leather weather-map", "essex sussex middlesex", "analysis analytics-lab", "classic classics", "expert experts", "alphabet better letters", "adults-education adultlearning", "slotted-spoon", "potter pottery", "camera cameras", "campus camping",
+    "address", "loading", "adventure", "shadows", "railway", "bicycle cycling", "cookery cook", "physics", "chemistry", "biology", "kitchen", "parliament", "government", "council", "hospital", "church", "football", "cricket", "chess", "film cinema", "novel novels", "poetry poets", "dictionary", "encyclopedia wiki", "maps", "trains", "bakery", "market",
+)
 SUBDOMAINS = ("", "www.", "blog.", "m.")
 SUFFIXES = ("example.com", "example.net", "example.org")
 PATHS = ("/en/17", "/de/205/", "/fr/318.html", "/es/42", "/", "")
+#: A path of a host to allow may name what is bad as a host: an article on it.
+REFERENCES = ("encyclopedia.example.org/wiki/", "news.example.com/report/")
+
+
+def labelled_urls() -> list[tuple[str, int, int, int]]:
+    """The labelled table: (host + path, 1 = block, family, word), every word with some subdomain, suffix and path, in a fixed rotation."""
+    out, n = [], 0
+    for label, families in ((1, BLOCKED), (0, ALLOWED)):
+        for i, family in enumerate(families):
+            for word in family.split():
+                n += 1
+                for j in range(4):
+                    out.append((f"{SUBDOMAINS[(i + j) % 4]}{word}.{SUFFIXES[(i + 2 * j) % 3]}{PATHS[(2 * i + j) % 6]}", label, i, n))
+                if label:
+                    out.append((f"{REFERENCES[i % 2]}{word}", 0, i, n))
+    return out
 
 
-def training_urls() -> list[tuple[str, int]]:
-    """Labelled (host + path, 1 = block): every word with some subdomain, suffix and path, in a fixed rotation."""
-    out = []
-    for label, words in ((1, BLOCKED), (0, ALLOWED)):
-        for i, word in enumerate(words):
-            for j in range(6):
-                out.append((f"{SUBDOMAINS[(i + j) % 4]}{word}.{SUFFIXES[(i + 2 * j) % 3]}{PATHS[(2 * i + j) % 6]}", label))
-    # Invented host words like those of ordinary sites, so that unknown letters alone aren't a reason to block.
+def training_urls(used=lambda family, word: True) -> list[tuple[str, int]]:
+    """(host + path, 1 = block) of the table's families and words that are used, and invented words like those of ordinary sites, so that unknown letters alone aren't a reason to block."""
+    out = [(url, label) for url, label, family, word in labelled_urls() if used(family, word)]
     parts = ("th", "er", "on", "an", "in", "re", "st", "en", "ti", "ou", "es", "nd", "ha", "ed", "le", "ion", "ble", "ing", "sh", "wh", "ly", "at", "ea", "or")
     for i in range(240):
         word = "".join(parts[(i * a + b) % len(parts)] for a, b in ((1, 0), (5, 3), (7, i // 24)))
@@ -42,9 +64,15 @@ def training_urls() -> list[tuple[str, int]]:
     return out
 
 
+def marked(host: str, path: str) -> str:
+    """Host and path marked at both ends; letters of the path are capitals, so that its n-grams are others than a host's."""
+    return f"^{host}{path.translate(str.maketrans(LOWER, UPPER))}$"
+
+
 def buckets_of(url: str, grams: tuple[int, ...] = GRAMS, size: int = BUCKETS) -> list[int]:
-    """Hashed n-grams of a host and path, marked at both ends; every occurrence counts."""
-    s = f"^{url}$"
+    """Hashed n-grams of a host and path; every occurrence counts."""
+    host, slash, path = url.partition("/")
+    s = marked(host, slash + path)
     return [zlib.crc32(s[i : i + n].encode()) % size for n in grams for i in range(len(s) - n + 1)]
 
 
@@ -55,9 +83,13 @@ def share(url: str) -> np.ndarray:
 
 
 @lru_cache(1)
-def fitted(steps: int = 1500, rate: float = 0.5, penalty: float = 1e-4) -> tuple[float, tuple[float, ...]]:
+def fitted() -> tuple[float, tuple[float, ...]]:
+    """The model of the whole labelled table."""
+    return fitted_on(tuple(training_urls()))
+
+
+def fitted_on(table: tuple[tuple[str, int], ...], steps: int = 1500, rate: float = 0.5, penalty: float = 1e-4) -> tuple[float, tuple[float, ...]]:
     """Intercept and weights of a penalised logistic regression by plain gradient descent with momentum; the same every time."""
-    table = training_urls()
     x, y = np.stack([share(u) for u, _ in table]), np.array([v for _, v in table], float)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     w, b, vw, vb = np.zeros(BUCKETS), 0.0, np.zeros(BUCKETS), 0.0
@@ -80,7 +112,7 @@ def score(host: Column, path: Column) -> Column:
     """Log-odds of the model that the URL is to be blocked."""
     b, weights = fitted()
     table = F.array(*map(F.lit, weights))
-    text = F.concat(F.lit("^"), host, path, F.lit("$"))
+    text = F.concat(F.lit("^"), host, F.translate(path, LOWER, UPPER), F.lit("$"))
     def weights_of(n: int) -> Column:
         last = F.length(text) - n + 1
         at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
