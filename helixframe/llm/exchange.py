@@ -20,7 +20,7 @@ from .words import U64, mix, tidy
 #: Keys in a part on average; a task needs about 100 bytes for each.
 PART_KEYS = 1_250_000
 #: Keys a task gathers before it passes them on.
-FLUSH_KEYS = 1_000_000
+FLUSH_KEYS = 500_000
 SCHEMA = "part int, keys binary, ids binary, counts binary"
 LOW = U64((1 << 56) - 1)
 

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once inside a Python worker; it bounds the size of the temporary arrays.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Size of a group after which a worker tidies up.
 TRIM_BYTES = 4 << 20
 U64 = np.uint64
