@@ -2,7 +2,8 @@
 
 Only pairs that share a feature have a row; densify() adds the others. A matrix of a set with itself is computed
 for x_id <= y_id and mirrored. What a feature brings is df x df pairs, so kernels are meant for sets whose squares
-are affordable; the planner sends larger ones to explicit representations.
+are affordable; the planner sends larger ones to explicit representations. Sequences are dealt into blocks, and a
+feature's pairs into pairs of blocks, so that few features (64 words of three letters) still make many tasks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..functions.kernels import Mixture, PairSpec, Spec
 from .extract import counts, occurrences
 
 KEYS = ("x_id", "y_id")
+#: Sequences in a block on average; a feature brings a pair of blocks at most BLOCK x BLOCK rows or so.
+BLOCK = 1_000
 
 
 def _sided(df: DataFrame, side: str, *value: str) -> DataFrame:
@@ -28,12 +31,31 @@ def mirrored(half: DataFrame) -> DataFrame:
     return half.unionByName(half.where("x_id <> y_id").select(F.col("y_id").alias("x_id"), F.col("x_id").alias("y_id"), "v"))
 
 
-def dot_products(x: DataFrame, y: DataFrame | None, value: str = "n") -> DataFrame:
+def blocks_of(*sides: DataFrame | None) -> tuple[int, ...]:
+    """Numbers of blocks for tables with a row for each sequence; one that isn't given is the first."""
+    numbers = [None if s is None else max(1, -(-s.count() // BLOCK)) for s in sides]
+    return tuple(n or numbers[0] for n in numbers)
+
+
+def _met(a: DataFrame, b: DataFrame, keys: list[str], blocks: tuple[int, ...], same: bool) -> DataFrame:
+    """Rows of both sides with equal keys, dealt by pairs of blocks; of a set with itself each pair once, as x_id <= y_id."""
+    if max(blocks) == 1:
+        joined = a.join(b, keys)
+        return joined.where("x_id <= y_id") if same else joined
+    own = lambda side, n: F.pmod(F.xxhash64(f"{side}_id"), F.lit(n)).cast("int")
+    a, b = a.withColumn("_bx", own("x", blocks[0])), b.withColumn("_by", own("y", blocks[1]))
+    a = a.withColumn("_by", F.explode(F.sequence(F.col("_bx") if same else F.lit(0), F.lit(blocks[1] - 1))))
+    b = b.withColumn("_bx", F.explode(F.sequence(F.lit(0), F.col("_by") if same else F.lit(blocks[0] - 1))))
+    joined = a.join(b, [*keys, "_bx", "_by"])
+    if not same:
+        return joined
+    return joined.where("_bx < _by OR x_id <= y_id").withColumns({"x_id": F.least(*KEYS), "y_id": F.greatest(*KEYS)})
+
+
+def dot_products(x: DataFrame, y: DataFrame | None, value: str = "n", blocks: tuple[int, ...] = (1, 1)) -> DataFrame:
     """(x_id, y_id, v): sums of products over common features; integers stay integers, so that no order of addition shows."""
     a, b = _sided(x, "x", value), _sided(x if y is None else y, "y", value)
-    joined = a.join(b, "feature")
-    if y is None:
-        joined = joined.where("x_id <= y_id")
+    joined = _met(a, b, ["feature"], blocks, y is None)
     return joined.groupBy(*KEYS).agg(F.sum(F.col(f"x_{value}") * F.col(f"y_{value}")).alias("v"))
 
 
@@ -44,7 +66,7 @@ def _normalized(products: DataFrame, x_squares: DataFrame, y_squares: DataFrame
     return joined.select(*KEYS, F.when(same, 1.0).otherwise(F.col("v") / F.sqrt(F.col("x_s").cast("double")) / F.sqrt(F.col("y_s").cast("double"))).alias("v"))
 
 
-def weighted_products(x: DataFrame, y: DataFrame | None, weights: tuple[float, ...]) -> DataFrame:
+def weighted_products(x: DataFrame, y: DataFrame | None, weights: tuple[float, ...], blocks: tuple[int, ...] = (1, 1)) -> DataFrame:
     """Positioned occurrences (seq_id, feature, pos) compared at every distance with a weight.
 
     The band becomes an equi-join: occurrences are counted by (sequence, feature, position), one side is spread over
@@ -57,9 +79,7 @@ def weighted_products(x: DataFrame, y: DataFrame | None, weights: tuple[float, .
     cy = cx if y is None else counted(y)
     steps = F.array(*(F.struct(F.lit(s * d).cast("long").alias("d"), F.lit(w).alias("w")) for d, w in enumerate(weights) for s in ((1, -1) if d else (1,)) if w))
     spread = _sided(cx, "x", "n").select("*", F.inline(steps)).select("x_id", "x_n", "feature", (F.col("pos") + F.col("d")).alias("pos"), "w")
-    joined = spread.join(_sided(cy, "y", "n"), ["feature", "pos"])
-    if y is None:
-        joined = joined.where("x_id <= y_id")
+    joined = _met(spread, _sided(cy, "y", "n"), ["feature", "pos"], blocks, y is None)
     return joined.groupBy(*KEYS).agg(F.sum(F.col("x_n") * F.col("y_n") * F.col("w")).alias("v"))
 
 
@@ -73,10 +93,11 @@ def kernel_matrix(spec: Spec | Mixture | PairSpec, x: DataFrame, y: DataFrame |
         return reduce(DataFrame.unionByName, parts).groupBy(*KEYS).agg(F.sum("v").alias("v"))
     if isinstance(spec, PairSpec):
         raise ValueError("pairs are compared by pair_matrix()")
+    blocks = blocks_of(x, y)
     if spec.dist_weight is None:
         cx = counts(x, spec)
         cy = None if y is None else counts(y, spec)
-        out = dot_products(cx, cy)
+        out = dot_products(cx, cy, blocks=blocks)
         square = lambda c: c.groupBy("seq_id").agg(F.sum(F.col("n") * F.col("n")).alias("s"))
         out = _normalized(out, square(cx), None if cy is None else square(cy)) if spec.normalized else out.withColumn("v", F.col("v").cast("double"))
     else:
@@ -85,7 +106,7 @@ def kernel_matrix(spec: Spec | Mixture | PairSpec, x: DataFrame, y: DataFrame |
             ends = [s.agg(F.max(F.length("seq") - F.coalesce("offset", F.lit(0))), F.min(1 - F.coalesce("offset", F.lit(0)))).first() for s in ([x] if y is None else [x, y])]
             longest = max(e[0] for e in ends) - min(e[1] for e in ends)
         w = spec.weights(longest or 0)
-        out = weighted_products(ox, oy, w)
+        out = weighted_products(ox, oy, w, blocks)
         if spec.normalized:
             square = lambda o: weighted_products(o, None, w).where("x_id = y_id").select(F.col("x_id").alias("seq_id"), F.col("v").alias("s"))
             out = _normalized(out, square(ox), None if oy is None else square(oy))
@@ -94,9 +115,12 @@ def kernel_matrix(spec: Spec | Mixture | PairSpec, x: DataFrame, y: DataFrame |
     return mirrored(out) if y is None else out
 
 
-def linear_kernel(x: DataFrame, y: DataFrame | None = None, lower_limit: float | None = None, triangular: bool = False, diagonal: bool = True) -> DataFrame:
-    """Products of explicit representations (seq_id, feature, v); only values over a limit, only one triangle, without the diagonal."""
-    out = dot_products(x, y, "v")
+def linear_kernel(x: DataFrame, y: DataFrame | None = None, lower_limit: float | None = None, triangular: bool = False, diagonal: bool = True, blocks: tuple[int, ...] = (1, 1)) -> DataFrame:
+    """Products of explicit representations (seq_id, feature, v); only values over a limit, only one triangle, without the diagonal.
+
+    blocks: numbers of blocks of the two sides, blocks_of() their sequences; more than one where a set holds thousands.
+    """
+    out = dot_products(x, y, "v", blocks)
     if lower_limit is not None:
         out = out.where(F.col("v") > lower_limit)
     if not diagonal:

@@ -146,3 +146,18 @@ def test_sources(spark, tmp_path):
     assert with_offset(s, F.lit(2)).first()["offset"] == 2
     with pytest.raises(ValueError):
         sequences(spark, [])
+
+
+@pytest.mark.parametrize("spec", [SpectrumSpec(k=2), GappySpec(k=1, m=2, normalized=False), SpectrumSpec(k=2, dist_weight=lin_weight(3)), SpectrumSpec(k=1, dist_weight=(1.0, 0.5), normalized=False)])
+def test_blocks_change_no_kernel(spark, monkeypatch, spec):
+    x, y = sequences(spark, SEQS * 3, offset=list(range(15)) if spec.dist_weight else None), sequences(spark, SEQS[::-1])
+    whole = [matrix(matrices.kernel_matrix(spec, x, other, longest=40)) for other in (None, y)]
+    monkeypatch.setattr(matrices, "BLOCK", 2)
+    assert matrices.blocks_of(x, y) == (8, 3) and matrices.blocks_of(x, None) == (8, 8)
+    for other, want in zip((None, y), whole, strict=True):
+        rows = matrices.kernel_matrix(spec, x, other, longest=40).collect()
+        got = {(r["x_id"], r["y_id"]): r["v"] for r in rows}
+        assert len(got) == len(rows) and got == pytest.approx(want) and len(want) > 10
+    rep = represent.explicit_rep(x, SpectrumSpec(k=2))
+    half = [matrix(matrices.linear_kernel(rep, triangular=True, diagonal=False, blocks=b)) for b in ((1, 1), (4, 4))]
+    assert half[0] == pytest.approx(half[1]) and all(a < b for a, b in half[1])
