@@ -33,6 +33,13 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return (((keys >> U64(40)) * U64(parts)) >> U64(24)).astype(np.int64)
 
 
+def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the values that occur: work grows with the rows at hand, however many parts there are."""
+    if len(sorted_values):
+        starts = np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1])
+        yield from zip(sorted_values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_values)], strict=True)
+
+
 class Packer:
     """Gathers (key, id) rows and gives them out as one row per part."""
 
@@ -54,17 +61,13 @@ class Packer:
         self.keys, self.ids, self.tags, self.held = [], [], [], 0
         part = part_of(keys, self.parts)
         order = np.argsort(part, kind="stable")
-        ends = np.cumsum(np.bincount(part, minlength=self.parts))
         keys, ids, tags = keys[order], ids[order], tags[order]
         rows: list[tuple[int, bytes, bytes, bytes]] = []
-        start = 0
-        for p, end in enumerate(ends.tolist()):
-            if end > start:
-                low = keys[start:end].view(np.uint8).reshape(-1, 8)[:, :7]
-                own, tag = ids[start:end], tags[start:end]
-                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])]))
-                rows.append((p, low.tobytes(), own[first].tobytes(), (np.diff(np.append(first, len(own))) * 4 + tag[first]).astype(np.int32).tobytes()))
-            start = end
+        for p, start, end in runs(part[order]):
+            low = keys[start:end].view(np.uint8).reshape(-1, 8)[:, :7]
+            own, tag = ids[start:end], tags[start:end]
+            first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])]))
+            rows.append((p, low.tobytes(), own[first].tobytes(), (np.diff(np.append(first, len(own))) * 4 + tag[first]).astype(np.int32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], ["part", "keys", "ids", "counts"])
 
 
@@ -127,9 +130,8 @@ def pack_pairs(pairs: np.ndarray, buckets: int) -> pa.Table:
     pairs = pairs.astype(np.int64)
     bucket = (mix(pairs[0].view(U64) * U64(3) + mix(pairs[1].view(U64))) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets)).tolist()
     both = np.ascontiguousarray(pairs[:, order].T)
-    rows = [(b, both[start:end].tobytes()) for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if end > start]
+    rows = [(b, both[start:end].tobytes()) for b, start, end in runs(bucket[order])]
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "pairs": pa.array([r[1] for r in rows], pa.binary())})
 
 

@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import ann, html_text, jaccard, license_scan, mixing, packing, quality, sharding, substrings, urls
+from helixframe.llm import ann, exchange, html_text, jaccard, license_scan, mixing, packing, quality, sharding, substrings, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, key string, component_id string, shard string"
@@ -199,6 +200,28 @@ def test_jaccard_rows_without_and_with_one_id(spark):
 # --- 4 -------------------------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("parts", [1, 7, 1 << 24])
+def test_packed_keys_and_pairs_come_back(parts):
+    rng = np.random.default_rng(parts)
+    keys, ids, tags = rng.integers(0, 1 << 63, 5_000).astype(np.uint64) * np.uint64(2), rng.integers(-9, 9, 5_000), rng.integers(0, 4, 5_000)
+    packer = exchange.Packer(parts)
+    assert not list(packer.add(keys, ids, tags))
+    packed = packer.flush()
+    assert packed.num_rows <= min(parts, 5_000) and not packer.flush().num_rows
+    got = []
+    for i, part in enumerate(packed.column("part").to_pylist()):
+        low, own, tag = exchange.unpack(pa.Table.from_batches([packed.slice(i, 1)]))
+        got += [(part, *row) for row in zip(low.tolist(), own.tolist(), tag.tolist(), strict=True)]
+    part = [((k >> 40) * parts) >> 24 for k in keys.tolist()]
+    want = [(p, k & ((1 << 56) - 1), i, t) for p, k, i, t in zip(part, keys.tolist(), ids.tolist(), tags.tolist(), strict=True)]
+    assert sorted(got) == sorted(want)
+    pairs = np.stack([ids, rng.integers(0, 9, 5_000)])
+    table = exchange.pack_pairs(pairs, parts)
+    both = [tuple(p) for row in table.column("pairs").to_pylist() for p in np.frombuffer(row, np.int64).reshape(-1, 2).tolist()]
+    assert sorted(both) == sorted(map(tuple, pairs.T.tolist())) and len(set(table.column("bucket").to_pylist())) == table.num_rows
+    assert exchange.pack_pairs(np.empty((2, 0), np.int64), parts).num_rows == 0
+
+
 def brute_removal(rows, window=13):
     words = {i: (t or "").encode().split() for i, t, *_ in rows}
     first = {}
